@@ -1,0 +1,193 @@
+"""Sources, models and the whole experiment on a small fixture."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tamis.operators import metrics, models
+from tamis.plans import experiment
+from tamis.sources import roles, store
+
+OPTIONS = {
+    "data": {"text_column": "post", "label_column": "leaning", "author_column": "auhtor_ID"},
+    "descriptive_statistics": {
+        "enabled": True,
+        "plot_label_distribution": True,
+        "word_count_per_label": True,
+        "get_author_info": True,
+        "get_top_n_words_per_label": 5,
+    },
+    "modeling": {"enabled": True, "model_type": "SVM", "hyperparameters": {"C": [0.1, 1]}},
+    "preprocessing": {
+        "number_of_folds": 3,
+        "get_descriptive_statistics_after_preprocessing": False,
+    },
+    "masking": {"enabled": True, "masking_strategy": 4},
+    "load_dataset": False,
+}
+TOPICS = {
+    "left": ["union", "strike", "wage", "labor"],
+    "right": ["border", "ranch", "church", "tariff"],
+    "center": ["budget", "survey", "median", "panel"],
+}
+
+
+def posts(n=240):
+    rng = random.Random(17)
+    rows = []
+    for i in range(n):
+        label = rng.choice(list(TOPICS))
+        words = rng.choices(TOPICS[label], k=4) + rng.choices(["talk", "city", "people", "trump"], k=6)
+        rng.shuffle(words)
+        rows.append((f"u{i % 40}", f'He said "{" ".join(words)}",\nit\'s fine. ', label))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def csv_path(spark, tmp_path_factory):
+    path = f"{tmp_path_factory.mktemp('posts')}/posts.csv"
+    df = spark.createDataFrame(posts(), "auhtor_ID string, post string, leaning string")
+    store.write_posts(df.coalesce(1), path)
+    return path
+
+
+def options(csv_path, **changes):
+    made = {k: dict(v) if isinstance(v, dict) else v for k, v in OPTIONS.items()}
+    made["data"]["file_path"] = csv_path
+    for section, change in changes.items():
+        made[section] = {**made[section], **change} if isinstance(change, dict) else change
+    return made
+
+
+def test_csv_round_trip(spark, csv_path):
+    back = store.read_posts(spark, csv_path, "auhtor_ID string, post string, leaning string")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(posts())
+
+
+@pytest.mark.parametrize(
+    "drop, named",
+    [(("masking", None), "masking"), (("data", "author_column"), "data.author_column"), (("load_dataset", None), "load_dataset")],
+)
+def test_missing_options_are_named(csv_path, drop, named):
+    made = options(csv_path)
+    section, name = drop
+    if name is None:
+        del made[section]
+    else:
+        del made[section][name]
+    with pytest.raises(ValueError, match=f"missing option: {named}$"):
+        roles.check_options(made)
+
+
+def test_missing_columns_are_named(spark):
+    with pytest.raises(ValueError, match="nope"):
+        roles.ColumnRoles(text="nope", label="id").bind(spark.range(1))
+
+
+def test_unknown_model_type(spark, csv_path):
+    with pytest.raises(ValueError, match="model type"):
+        experiment.run(spark, options(csv_path, modeling={"model_type": "TREE"}))
+
+
+@pytest.fixture(scope="module")
+def outcome(spark, csv_path, tmp_path_factory):
+    base = tmp_path_factory.mktemp("run")
+    places = spark.createDataFrame([("city",)], "name string")
+    out = experiment.run(
+        spark, options(csv_path), f"{base}/prepared", f"{base}/metrics", places=places, max_iter=30
+    )
+    return out, base
+
+
+def test_prepared_table(spark, outcome):
+    out, base = outcome
+    prepared = out["prepared"]
+    assert prepared.count() == 240
+    words = {w for r in prepared.collect() for w in r.tokens}
+    assert "union" in words and not words & {"trump", "city", "it", "is"}
+    per_author = prepared.groupBy("author").agg(F.count_distinct("fold").alias("n"))
+    assert per_author.where("n > 1").count() == 0
+    assert store.read_prepared(spark, f"{base}/prepared").where("fold = 1").count() == prepared.where("fold = 1").count()
+    assert store.fold_sizes(prepared).agg(F.sum("val"), F.min(F.col("train") + F.col("val"))).first()[:] == (240, 240)
+    assert [r.doc_id for r in store.preview(prepared, 3).collect()] == sorted(
+        r.doc_id for r in prepared.select("doc_id").collect()
+    )[:3]
+
+
+def test_model_learns_and_is_logged(spark, outcome):
+    out, base = outcome
+    results = out["results"]
+    summary = {(r.config, r.metric): r["mean"] for r in results.summary.collect()}
+    assert summary["C=1", "macro_f1"] > 0.95
+    assert results.predictions.count() == 2 * 240
+    assert results.best.count() == 1
+    assert results.mean_confusion.where("config = 'C=1'").agg(F.sum("mean_n")).first()[0] == pytest.approx(80)
+    logged = spark.read.parquet(f"{base}/metrics")
+    assert logged.count() == 2 * 3 * 4
+    store.append_metrics(results.metrics, f"{base}/metrics")
+    assert spark.read.parquet(f"{base}/metrics").count() == 2 * 2 * 3 * 4
+
+
+def test_top_features_belong_to_their_class(outcome):
+    results = outcome[0]["results"]
+    top = models.top_features(results.features, results.fitted["C=1", 2], 4).collect()
+    found = {}
+    for r in top:
+        found.setdefault(r.label, set()).add(r.term)
+    assert found == {label: {w for w in words} | set() for label, words in TOPICS.items()} or all(
+        len(found[label] & set(words)) >= 3 for label, words in TOPICS.items()
+    )
+
+
+def test_vectors_have_unit_length(outcome):
+    features = outcome[0]["results"].features
+    norms = features.cells.select(
+        F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x * x).alias("n")
+    ).distinct().collect()
+    assert all(r.n == pytest.approx(1.0) or r.n == 0 for r in norms)
+    assert features.rows.where("model_fold = 0 and split = 'val'").count() == outcome[0]["prepared"].where("fold = 0").count()
+
+
+def test_svd_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    dense = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
+    rows = [
+        (i, "a", (0, 12, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[np.flatnonzero(r)]]))
+        for i, r in enumerate(dense)
+    ]
+    cells = spark.createDataFrame(
+        rows,
+        "doc_id long, label string, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>",
+    )
+    projected, explained = models.project_2d(cells, 12)
+    u, s, vt = np.linalg.svd(dense, full_matrices=False)
+    want = np.abs(dense @ vt[:2].T)
+    got = {r.doc_id: (r.component_1, r.component_2) for r in projected.collect()}
+    for i in range(30):
+        assert np.abs(got[i]) == pytest.approx(want[i], abs=1e-6)
+    share = (dense @ vt[:2].T).var(axis=0).sum() / dense.var(axis=0).sum()
+    assert explained.first().explained == pytest.approx(share, abs=1e-6)
+
+
+def test_profile_tables_follow_the_options(spark, csv_path, outcome):
+    tables = outcome[0]["profile"]
+    assert len(tables) == 10
+    assert {r.label for r in tables["top_terms"].collect()} == set(TOPICS)
+    assert tables["totals"].first().authors == 40
+    off = {"get_author_info": False, "get_top_n_words_per_label": None, "word_count_per_label": False}
+    made = experiment.run(spark, options(csv_path, descriptive_statistics=off, modeling={"model_type": "BERT"}))
+    assert set(made["profile"]) == {"label_distribution"}
+    inputs = made["model_inputs"]
+    assert inputs.count() == 240 and inputs.select("fold").distinct().count() == 3
+    assert all(r.input == r.input.lower() for r in inputs.collect())
+
+
+def test_load_dataset_reuses_the_table(spark, csv_path, outcome):
+    base = outcome[1]
+    made = experiment.run(
+        spark, options(csv_path, load_dataset=True, modeling={"enabled": False}), f"{base}/prepared"
+    )
+    assert made["prepared"].count() == 240 and "results" not in made
