@@ -114,9 +114,16 @@ def _no_match(level: int, rule_set: str = "strict") -> str:
 
 
 _NO_PLACE = "token NOT IN (SELECT name FROM names)"
+# Word borders of the second engine know ASCII letters only. Lower-case Latin letters outside ASCII are
+# therefore written as two capitals, which no lower-cased text holds, while the rules are applied.
+_LETTERS = {c: "Z" + chr(ord("A") + i) for i, c in enumerate("ßàáâäåæçèéêëìíîïñòóôöøùúûü")}
 _TEXT = "lower(text)"
+for _letter, _code in _LETTERS.items():
+    _TEXT = f"replace({_TEXT}, '{_letter}', '{_code}')"
 for _level in (1, 2, 3):
     _TEXT = f"regexp_replace({_TEXT}, '\\b(?:{'|'.join(TEXT_RULES['strict'][_level])})\\b', '', 'g')"
+for _letter, _code in _LETTERS.items():
+    _TEXT = f"replace({_TEXT}, '{_code}', '{_letter}')"
 SQL = {
     "f7_mask_leanings": _masked(_no_match(1)),
     "f7_mask_leanings_intended": _masked(_no_match(1, "intended")),

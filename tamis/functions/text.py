@@ -69,7 +69,10 @@ def word_tokens(text: Column) -> Column:
 
 @cache
 def _combining_class() -> str:
-    """Regular-expression class of all characters with a combining class, as code point ranges."""
+    """Regular-expression class of all characters with a combining class, as code point ranges.
+
+    All of them are marks; asking for that first spares letters the walk through the ranges.
+    """
     ranges: list[list[int]] = []
     for code in range(0x20000):
         if unicodedata.combining(chr(code)):
@@ -77,7 +80,7 @@ def _combining_class() -> str:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]+"
+    return r"[\p{M}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]]+"
 
 
 def _decompose(text: Column, compatibility: bool) -> Column:

@@ -135,7 +135,7 @@ def fold_vocabulary(
     return per_fold.select("term", fits.alias("idfs")).where(F.size("idfs") > 0)
 
 
-def fold_tfidf(
+def fold_weights(
     docs: DataFrame,
     k: int,
     min_df: int = 2,
@@ -143,17 +143,18 @@ def fold_tfidf(
     longest: int = 1,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """``(model_fold, split, doc_id, term, weight)``: fitted on train rows, applied to all rows.
+    """``(model_fold, split, doc_id, term, weight)`` before scaling to unit length.
 
-    Sublinear counts, smoothed idf, unit length. Terms the training rows do not keep are dropped.
-    The idfs of all folds arrive with one join by term; rows multiply by ``k`` only after it.
+    Sublinear counts times the idf fitted on train rows, for all rows. Terms the training rows do
+    not keep are dropped. The idfs of all folds arrive with one join by term; rows multiply by ``k``
+    only after it.
     """
     grams = docs.select("doc_id", "fold", ngrams(F.col("tokens"), 1, longest).alias("terms"))
     counts = term_counts(grams, "terms", "doc_id", "fold")
     if vocabulary is None:
         vocabulary = fold_vocabulary(counts, docs, k, min_df, max_df)
     extra = [c for c in vocabulary.columns if c not in ("term", "idfs")]
-    weighted = (
+    return (
         counts.join(vocabulary, "term")
         .select("doc_id", "fold", "term", "tf", *extra, F.explode("idfs").alias("_fit"))
         .select(
@@ -165,7 +166,13 @@ def fold_tfidf(
             (sublinear(F.col("tf")) * F.col("_fit.idf")).alias("weight"),
         )
     )
-    return unit_weights(weighted, "model_fold", "doc_id")
+
+
+def fold_tfidf(
+    docs: DataFrame, k: int, min_df: int = 2, max_df: float = 0.9, longest: int = 1
+) -> DataFrame:
+    """``fold_weights`` with unit length per fold and document."""
+    return unit_weights(fold_weights(docs, k, min_df, max_df, longest), "model_fold", "doc_id")
 
 
 def indexed_vocabulary(vocabulary: DataFrame) -> DataFrame:
