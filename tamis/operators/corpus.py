@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.text import adjacent_pairs
+from tamis.functions.wordlists import NOUN_ENDINGS
 
 # Tokens that make up at least 1/_HOT_SHARE of all occurrences: there can be no more than
 # _HOT_SHARE of them, so a table of them may always be broadcast.
 _HOT_SHARE = 20_000
 
 
-def rows_of(array: str, *out: str, keep: tuple[str, ...] = ("doc_id",), positions: bool = False) -> tuple:
-    """Columns that explode an array.
+def token_places(docs: DataFrame) -> DataFrame:
+    """``(doc_id, pos, token)``.
 
-    The outer form is used, with a null filter behind it: for the plain form Catalyst puts a
-    ``size(array) > 0`` filter under the projection, and so computes the array once more.
+    Here and elsewhere arrays are exploded in the outer form with a null filter behind it: for the
+    plain form Catalyst adds a ``size(array) > 0`` filter below, which computes the array once more.
     """
-    explode = F.posexplode_outer if positions else F.explode_outer
-    return (*keep, explode(array).alias(*out))
-
-
-def token_places(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, token)``."""
-    exploded = docs.select(*rows_of("tokens", "pos", "token", positions=True))
+    exploded = docs.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token"))
     return exploded.where(F.col("token").isNotNull())
 
 
@@ -144,7 +141,7 @@ def lemma_table(
     vocabulary: DataFrame,
     nouns: DataFrame,
     exceptions: DataFrame | None = None,
-    endings: list[tuple[str, str]] | None = None,
+    endings: Sequence[tuple[str, str]] = NOUN_ENDINGS,
 ) -> DataFrame:
     """``(form, lemma)`` for the words of ``vocabulary(token)`` that have a noun lemma.
 
@@ -153,15 +150,13 @@ def lemma_table(
     use those candidates instead. Endings are applied once. Words without a hit are absent and stay
     as they are.
     """
-    from tamis.functions.wordlists import NOUN_ENDINGS
-
     token = F.col("token")
     stems = [
         F.when(
             token.endswith(ending),
             F.concat(F.substring(token, F.lit(1), F.length(token) - len(ending)), F.lit(new)),
         )
-        for ending, new in (endings or NOUN_ENDINGS)
+        for ending, new in endings
     ]
     by_rule = F.array_compact(F.array(token, *stems))
     words = vocabulary.select("token").distinct()

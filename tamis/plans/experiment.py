@@ -19,7 +19,7 @@ from tamis.sources.roles import ColumnRoles, check_options
 
 @dataclass(frozen=True)
 class Preparation:
-    """Settings of the cleaning chain; the defaults are those of the reference experiment."""
+    """Settings of the cleaning chain."""
 
     posts_per_author: int | None = 97
     min_freq: int = 5
@@ -94,6 +94,18 @@ def prepare_model_inputs(
     return df.select("doc_id", "label", made.alias("input")).join(assigned, "doc_id")
 
 
+# One binary model is trained per class; a label column beyond this is not a class label.
+_MOST_CLASSES = 1000
+
+
+def classes_for_training(prepared: DataFrame) -> list[str]:
+    """The labels in alphabetical order; an error rather than a cut when there are too many."""
+    found = prepared.select("label").distinct().limit(_MOST_CLASSES + 1).collect()
+    if len(found) > _MOST_CLASSES:
+        raise ValueError(f"more than {_MOST_CLASSES} labels; is the label column right?")
+    return sorted(r.label for r in found)
+
+
 @dataclass(frozen=True)
 class Results:
     predictions: DataFrame
@@ -198,7 +210,7 @@ def run(
         out["profile_prepared"] = profile_tables(words, described["get_top_n_words_per_label"])
 
     if modelling["enabled"]:
-        classes = sorted(r[0] for r in prepared.select("label").distinct().limit(10_000).collect())
+        classes = classes_for_training(prepared)
         grid = modelling["hyperparameters"]["C"]
         out["results"] = train_and_score(prepared, grid, classes, max_iter)
         if metrics_path is not None:

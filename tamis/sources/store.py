@@ -97,6 +97,6 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     id also lets later steps that regroup by ``doc_id`` skip their shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
