@@ -18,6 +18,8 @@ _NOT_BLANK = r"(?U)[^\s\x1C-\x1F]+"
 _PUNCTUATION = r"""([,;:@#$%&?!"()\[\]{}<>`«»“”„‘’]|--|\.\.\.)"""
 # Endings that part from their word before a blank.
 _CLITIC = r"(n't|N'T|'(?:[sSmMdD]|ll|LL|re|RE|ve|VE)?) "
+# A full stop before a blank, but not the end of an ellipsis.
+_FINAL_STOP = r"\.(?<!\.\.) "
 # Whole lines made of letters only: `(?d)` lets nothing but a line feed end a line.
 _LETTER_LINE = r"(?dm)^\p{L}+$"
 
@@ -38,24 +40,34 @@ def word_count(text: Column) -> Column:
 
 
 def expand_contractions(
-    text: Column, rules: Sequence[tuple[str, str]] = CONTRACTIONS
+    text: Column,
+    rules: Sequence[tuple[str, str]] = CONTRACTIONS,
+    source: Column | None = None,
 ) -> Column:
     """Open contractions where an ASCII apostrophe occurs; such texts lose all non-ASCII characters.
 
     Typographic apostrophes are left alone. ``rules`` are ``(pattern, expansion)`` pairs applied in
-    order; texts without an apostrophe skip the whole chain.
+    order; texts without an apostrophe skip the whole chain. ``source`` may name the column that
+    ``text`` was made from, to look for the apostrophe there.
     """
     opened = F.regexp_replace(text, r"[^\x00-\x7F]+", "")
     for pattern, expansion in rules:
         opened = F.regexp_replace(opened, pattern, expansion)
-    return F.when(F.contains(text, F.lit("'")), opened).otherwise(text)
+    apostrophe = F.contains(text if source is None else source, F.lit("'"))
+    return F.when(apostrophe, opened).otherwise(text)
+
 
+def _part_punctuation(collapsed: Column, source: Column) -> Column:
+    """Blanks around every token of a text whose only white space is single blanks.
 
-def _part_punctuation(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, _BLANK, " "), F.lit(" "))
+    ``source`` is the column the text was made from: it tells, without computing the text a second
+    time, whether there can be an apostrophe.
+    """
+    padded = F.concat(F.lit(" "), collapsed, F.lit(" "))
     padded = F.regexp_replace(padded, _PUNCTUATION, " $1 ")
-    padded = F.regexp_replace(padded, _CLITIC, " $1 ")
-    return F.regexp_replace(padded, r"([^.])\. ", "$1 . ")
+    clitics = F.regexp_replace(padded, _CLITIC, " $1 ")
+    padded = F.when(F.contains(source, F.lit("'")), clitics).otherwise(padded)
+    return F.regexp_replace(padded, _FINAL_STOP, " . ")
 
 
 def word_tokens(text: Column) -> Column:
@@ -64,7 +76,8 @@ def word_tokens(text: Column) -> Column:
     Words with an inner hyphen, slash, dot or digit stay whole. A full stop after an abbreviation is
     parted too, where a sentence-aware tokeniser would keep it.
     """
-    return F.regexp_extract_all(_part_punctuation(text), F.lit("[^ ]+"), F.lit(0))
+    parted = _part_punctuation(F.regexp_replace(text, _BLANK, " "), text)
+    return F.regexp_extract_all(parted, F.lit("[^ ]+"), F.lit(0))
 
 
 @cache
@@ -132,8 +145,8 @@ def clean_tokens(
     collapse_blanks(text))))))``, but the text is held one token per line until the end, so that
     normalising, splitting and keeping alphabetic tokens are one pass each over one string.
     """
-    parted = _part_punctuation(expand_contractions(collapse_blanks(text), contractions))
-    lines = fold_case_and_accents(F.translate(parted, " ", "\n"))
+    parted = _part_punctuation(expand_contractions(collapse_blanks(text), contractions, text), text)
+    lines = fold_case_and_accents(F.replace(parted, F.lit(" "), F.lit("\n")))
     tokens = F.regexp_extract_all(lines, F.lit(_LETTER_LINE), F.lit(0))
     return drop_words(tokens, stop_words) if stop_words else tokens
 
