@@ -73,7 +73,7 @@ def frequency_cutoff(
 
 def _ordered_bucket(order: str, low: Column, high: Column, buckets: int) -> Column:
     span = F.greatest(high - low, F.lit(1)).cast("double")
-    return F.floor((F.col(order) - low).cast("double") * (buckets - 1) / span)
+    return F.coalesce(F.floor((F.col(order) - low).cast("double") * (buckets - 1) / span), F.lit(0))
 
 
 def boundary_pairs(docs: DataFrame, order: str = "doc_id", buckets: int = 4096) -> DataFrame:
@@ -81,10 +81,14 @@ def boundary_pairs(docs: DataFrame, order: str = "doc_id", buckets: int = 4096)
 
     The corpus is cut into ranges of ``order``; only one row per range is sorted across ranges.
     """
-    ends = docs.where(F.size("tokens") > 0).select(
-        F.col(order).alias("_at"),
-        F.get("tokens", F.lit(0)).alias("_first"),
-        F.element_at("tokens", -1).alias("_last"),
+    both = F.struct(
+        F.get("tokens", F.lit(0)).alias("_first"), F.try_element_at("tokens", F.lit(-1)).alias("_last")
+    )
+    # Exploded, though it is one row, because filters do not move below an explode.
+    ends = (
+        docs.select(F.col(order).alias("_at"), F.explode_outer(F.array(both)).alias("_ends"))
+        .select("_at", "_ends.*")
+        .where(F.col("_first").isNotNull())
     )
     span = docs.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
     ranged = ends.withColumn("_range", _ordered_bucket("_at", span["lo"], span["hi"], buckets))

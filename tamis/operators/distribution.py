@@ -15,10 +15,15 @@ _VALUES_PER_BUCKET = 1024
 
 
 def frequency_table(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """``(by..., value, n)``; rows without a value are not counted.
+
+    They are left out by their count and not by a filter on ``value``: Catalyst would move that
+    filter under the projection and compute the measure a second time there.
+    """
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("bigint").alias("value"))
-        .agg(F.count("*").alias("n"))
+        df.groupBy(*by, F.col(value).cast("bigint").alias("value"))
+        .agg(F.count(value).alias("n"))
+        .where(F.col("n") > 0)
     )
 
 
@@ -71,7 +76,9 @@ def ecdf(freq: DataFrame) -> DataFrame:
     ``(n-1)/n``.
     """
     total = freq.agg(F.sum("n")).scalar()
-    bucketed = freq.withColumn("_bucket", F.floor(F.col("value") / _VALUES_PER_BUCKET))
+    # Never null, so that the join by bucket adds no filter on the measure either.
+    bucket = F.coalesce(F.floor(F.col("value") / _VALUES_PER_BUCKET), F.lit(-1))
+    bucketed = freq.withColumn("_bucket", bucket)
     placed = running_total(
         bucketed, F.col("n"), "_before", [], ["_bucket"], [F.col("_bucket")], [F.col("value")]
     )

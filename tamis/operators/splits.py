@@ -46,10 +46,15 @@ def _shuffle_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _bucket_of(hashed: str) -> Column:
+    """Leading digits; never null, so that joins by bucket do not add filters that hash again."""
+    return F.coalesce(F.substring(hashed, 1, _BUCKET_DIGITS), F.lit(""))
+
+
 def stratified_folds(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """``(doc_id, label, fold)``: each label is dealt evenly over the folds in a seeded order."""
     hashed = docs.select("doc_id", "label", _shuffle_hash("doc_id", seed).alias("_hash")).withColumn(
-        "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
+        "_bucket", _bucket_of("_hash")
     )
     placed = row_number(
         hashed, "_place", ["label"], ["_bucket"], [F.col("_bucket")], [F.col("_hash")]
@@ -79,7 +84,7 @@ def author_folds(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
             F.sum("_n").alias("_size"),
         )
         .withColumn("_hash", _shuffle_hash("author", seed))
-        .withColumn("_bucket", F.substring("_hash", 1, _BUCKET_DIGITS))
+        .withColumn("_bucket", _bucket_of("_hash"))
     )
     placed = row_number(
         authors,

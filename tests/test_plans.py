@@ -39,8 +39,10 @@ def test_ranks_are_cut_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan_of(entry.queries()[name](spark, PATH))
 
 
-def test_texts_are_tokenized_once_per_branch(spark):
-    """No filter repeats the token expression of the projection above it."""
-    plan = plan_of(entry.queries()["a11_token_frequencies"](spark, PATH))
+@pytest.mark.parametrize("name", LAZY)
+def test_no_filter_computes_a_text_function_again(spark, name):
+    """Catalyst may move a filter below the projection that made its column, and repeat the work."""
+    plan = plan_of(entry.queries()[name](spark, PATH))
     filters = [block for block in plan.split("\n\n") if ") Filter" in block.split("\n")[0]]
-    assert not [block for block in filters if "regexp_extract_all" in block]
+    dear = ("regexp_", "md5(", "java_method", "reflect(")
+    assert not [block for block in filters if any(f in block for f in dear)]
