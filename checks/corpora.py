@@ -116,9 +116,10 @@ def _folded(spark, path):
 def j3_fold_vocabulary(spark, path):
     docs = _folded(spark, path)
     counts = tfidf.term_counts(docs, "tokens", "doc_id", "fold")
-    fitted = tfidf.fold_vocabulary(counts, docs, FOLDS).select("term", F.explode("idfs").alias("f"))
-    return fitted.select(
-        F.col("f.model_fold").cast("bigint").alias("fold"), "term", F.col("f.df").alias("df"), r6(F.col("f.idf")).alias("idf")
+    fitted = tfidf.fold_vocabulary(counts, docs, FOLDS)
+    fits = fitted.select("term", F.posexplode_outer("fits").alias("fold", "f")).where(F.col("f").isNotNull())
+    return fits.select(
+        F.col("fold").cast("bigint").alias("fold"), "term", F.col("f.df").alias("df"), r6(F.col("f.idf")).alias("idf")
     )
 
 

@@ -112,10 +112,10 @@ def top_terms_per_label(
 def fold_vocabulary(
     counts: DataFrame, docs: DataFrame, k: int, min_df: int = 2, max_df: float = 0.9
 ) -> DataFrame:
-    """``(term, idfs)``: idf of each term fitted on the training rows of every fold.
+    """``(term, fits)``: document frequency and idf of each term on the training rows of every fold.
 
-    ``idfs`` holds ``(model_fold, df, idf)`` for the folds that keep the term. One pass counts
-    documents per term and fold; what a fold trains on is the total minus its own count.
+    ``fits`` has one entry ``(df, idf)`` per fold, null where the fold does not keep the term. One
+    pass counts documents per term and fold; what a fold trains on is the total minus its own count.
     """
     sizes = docs.groupBy("fold").agg(F.count("*").alias("_n"))
     size_of = sizes.agg(F.map_from_entries(F.collect_list(F.struct("fold", "_n")))).scalar()
@@ -128,11 +128,12 @@ def fold_vocabulary(
         df = F.col("_df") - F.col(f"_in{f}")
         n = total - F.coalesce(F.try_element_at(size_of, F.lit(f)), F.lit(0))
         kept = (df >= min_df) & (df <= max_df * n)
-        entry = F.struct(F.lit(f).alias("model_fold"), df.alias("df"), smooth_idf(df, n).alias("idf"))
-        return F.when(kept, entry)
+        return F.when(kept, F.struct(df.alias("df"), smooth_idf(df, n).alias("idf")))
 
-    fits = F.array_compact(F.array(*[fitted(f) for f in range(k)]))
-    return per_fold.select("term", fits.alias("idfs")).where(F.size("idfs") > 0)
+    fits = F.array(*[fitted(f) for f in range(k)])
+    return per_fold.select("term", fits.alias("fits")).where(
+        F.exists("fits", lambda fit: fit.isNotNull())
+    )
 
 
 def fold_weights(
@@ -143,36 +144,48 @@ def fold_weights(
     longest: int = 1,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """``(model_fold, split, doc_id, term, weight)`` before scaling to unit length.
+    """``(doc_id, fold, term, raw)``: one row per document and term, whatever the number of folds.
 
-    Sublinear counts times the idf fitted on train rows, for all rows. Terms the training rows do
-    not keep are dropped. The idfs of all folds arrive with one join by term; rows multiply by ``k``
-    only after it.
+    ``raw`` holds, per fold, the sublinear count times the idf fitted on that fold's train rows, null
+    where the fold does not keep the term. All idfs arrive with one join by term. Further columns of
+    ``vocabulary`` are passed on.
     """
     grams = docs.select("doc_id", "fold", ngrams(F.col("tokens"), 1, longest).alias("terms"))
     counts = term_counts(grams, "terms", "doc_id", "fold")
     if vocabulary is None:
         vocabulary = fold_vocabulary(counts, docs, k, min_df, max_df)
-    extra = [c for c in vocabulary.columns if c not in ("term", "idfs")]
-    return (
-        counts.join(vocabulary, "term")
-        .select("doc_id", "fold", "term", "tf", *extra, F.explode("idfs").alias("_fit"))
-        .select(
-            F.col("_fit.model_fold").alias("model_fold"),
-            F.when(F.col("fold") == F.col("_fit.model_fold"), "val").otherwise("train").alias("split"),
-            "doc_id",
-            "term",
-            *extra,
-            (sublinear(F.col("tf")) * F.col("_fit.idf")).alias("weight"),
-        )
+    extra = [c for c in vocabulary.columns if c not in ("term", "fits")]
+    raw = [sublinear(F.col("tf")) * F.get("fits", F.lit(f))["idf"] for f in range(k)]
+    return counts.join(vocabulary, "term").select(
+        "doc_id", "fold", "term", *extra, F.array(*raw).alias("raw")
     )
 
 
 def fold_tfidf(
     docs: DataFrame, k: int, min_df: int = 2, max_df: float = 0.9, longest: int = 1
 ) -> DataFrame:
-    """``fold_weights`` with unit length per fold and document."""
-    return unit_weights(fold_weights(docs, k, min_df, max_df, longest), "model_fold", "doc_id")
+    """``(model_fold, split, doc_id, term, weight)``: unit length per fold and document.
+
+    The lengths of all folds are summed in one window per document; rows multiply by ``k`` after it.
+    """
+    weights = fold_weights(docs, k, min_df, max_df, longest)
+    of_document = Window.partitionBy("doc_id")
+
+    def norm(f: int) -> Column:
+        entry = F.get("raw", F.lit(f))
+        return F.sqrt(F.sum(entry * entry).over(of_document))
+
+    normed = weights.withColumn("_norms", F.array(*[norm(f) for f in range(k)]))
+    exploded = normed.select(
+        "doc_id", "fold", "term", "_norms", F.posexplode_outer("raw").alias("model_fold", "_raw")
+    ).where(F.col("_raw").isNotNull())
+    return exploded.select(
+        "model_fold",
+        F.when(F.col("fold") == F.col("model_fold"), "val").otherwise("train").alias("split"),
+        "doc_id",
+        "term",
+        (F.col("_raw") / F.get("_norms", F.col("model_fold"))).alias("weight"),
+    )
 
 
 def indexed_vocabulary(vocabulary: DataFrame) -> DataFrame:
