@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.inputs import FREQ, OCC, STOPS, TOK, documents, joined, r6, stratified_sql, tokenized
 from tamis.functions.text import adjacent_pairs
 from tamis.operators import corpus, splits, tfidf
+from tamis.sources.store import write_through
 
 FOLDS = 3
 
@@ -109,8 +110,10 @@ def k2_top_terms(spark, path):
 
 
 def _folded(spark, path):
+    """Tokens with folds, written once: fitting and applying both read them."""
     docs = tokenized(spark, path)
-    return docs.join(splits.stratified_folds(docs, FOLDS).select("doc_id", "fold"), "doc_id")
+    folds = splits.stratified_folds(documents(spark, path), FOLDS).select("doc_id", "fold")
+    return write_through(docs.join(folds, "doc_id"), "folded")
 
 
 def j3_fold_vocabulary(spark, path):

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.inputs import TURNS, clicks, documents, stratified_sql, turns
+from checks.inputs import TURNS, clicks, documents, r6, stratified_sql, turns
 from tamis.operators import metrics, splits
-from checks.inputs import r6
 
 
 def w1_cap_per_author(spark, path):

@@ -10,7 +10,7 @@ from tamis.plans import experiment
 from tamis.sources import roles, store
 
 OPTIONS = {
-    "data": {"text_column": "post", "label_column": "leaning", "author_column": "auhtor_ID"},
+    "data": {"text_column": "post", "label_column": "leaning", "author_column": "writer"},
     "descriptive_statistics": {
         "enabled": True,
         "plot_label_distribution": True,
@@ -47,7 +47,7 @@ def posts(n=240):
 @pytest.fixture(scope="module")
 def csv_path(spark, tmp_path_factory):
     path = f"{tmp_path_factory.mktemp('posts')}/posts.csv"
-    df = spark.createDataFrame(posts(), "auhtor_ID string, post string, leaning string")
+    df = spark.createDataFrame(posts(), "writer string, post string, leaning string")
     store.write_posts(df.coalesce(1), path)
     return path
 
@@ -61,7 +61,7 @@ def options(csv_path, **changes):
 
 
 def test_csv_round_trip(spark, csv_path):
-    back = store.read_posts(spark, csv_path, "auhtor_ID string, post string, leaning string")
+    back = store.read_posts(spark, csv_path, "writer string, post string, leaning string")
     assert sorted(tuple(r) for r in back.collect()) == sorted(posts())
 
 
