@@ -138,5 +138,6 @@ def pack(
     bins = open_bins
     for part in finished:
         bins = bins.unionByName(part)
-    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("pieces").alias("p"))
-    return numbered.select(*(f"p.{f.split()[0]}" for f in _FIELDS[:5]), "sequence_id", "p.offset")
+    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "pieces")
+    placed = numbered.select("sequence_id", F.explode("pieces").alias("p"))
+    return placed.select(*(f"p.{f.split()[0]}" for f in _FIELDS[:5]), "sequence_id", "p.offset")
