@@ -18,14 +18,17 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import values
+
 #: Chunks between spaces that a worker remembers for certain (at most twice as many), and words in
 #: one trie. Reaching them costs time only: old chunks are forgotten, and a further trie follows.
-REMEMBERED, TRIE_WORDS = 400_000, 500_000
+REMEMBERED, TRIE_WORDS = 250_000, 250_000
 #: Letters by which the tokens that end at a node are looked up.
 TAIL = 5
 
@@ -213,15 +216,16 @@ class TextCoder:
                 out.append(b"")
         return out
 
-    def encode(self, texts: list[str | None], size: int = 8_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], size: int = 3_000_000) -> Iterator[bytes]:
         """The glued forms of each text, a trie for every ``size`` characters; a null text is empty."""
-        start = held = 0
-        for i, text in enumerate(texts):
+        some, held = [], 0
+        for text in texts:
+            some.append(text)
             held += len(text or "")
             if held >= size:
-                yield from self._some(texts[start : i + 1])
-                start, held = i + 1, 0
-        yield from self._some(texts[start:])
+                yield from self._some(some)
+                some, held = [], 0
+        yield from self._some(some)
 
 
 def decimal(ids: list[int]) -> bytes:
@@ -253,7 +257,7 @@ def encode(text: Column, tokenizer: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = decimal_coder(tokenizer)
         for batch in batches:
-            yield pa.array(list(coder.encode(batch.to_pylist())), pa.binary()).cast(pa.string())
+            yield pa.array(list(coder.encode(values(batch))), pa.binary()).cast(pa.string())
 
     return run(text)
 
@@ -273,18 +277,32 @@ def decode(ids: Column, tokenizer: str) -> Column:
     return run(ids)
 
 
+def digests(text: Column, tokenizer: str) -> Column:
+    """``struct(n_tokens, ids_sha256, decoded_sha256)``: what ``encode`` and ``decode`` give, hashed where
+    it is made, so that no ids or decoded texts leave the worker."""
+
+    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = decimal_coder(tokenizer)
+        tokens = {b"%d" % i: t for i, t in enumerate(coder.tokens)}
+        for batch in batches:
+            count, before, after = [], [], []
+            for ids in coder.encode(values(batch)):
+                split = ids.split()
+                count.append(len(split))
+                before.append(sha256(ids).hexdigest())
+                after.append(sha256(" ".join(map(tokens.__getitem__, split)).encode()).hexdigest())
+            arrays = [pa.array(count, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.StructArray.from_arrays(arrays, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run(text)
+
+
 def round_trips(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, one row per row of ``docs``.
 
     Null and empty texts have no tokens, and the hashes of the empty string. Rows with the same id
     are separate rows; a null id stays null. Further columns are not read.
     """
-    ids = docs.select("doc_id", encode(F.col("text"), tokenizer).alias("ids"))
-    both = ids.select("doc_id", "ids", decode(F.col("ids"), tokenizer).alias("decoded"))
-    count = F.when(F.length("ids") == 0, F.lit(0)).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "))) + 1)
-    return both.select(
-        "doc_id",
-        count.cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    found = docs.select("doc_id", digests(F.col("text"), tokenizer).alias("_found"))
+    return found.select("doc_id", "_found.n_tokens", "_found.ids_sha256", "_found.decoded_sha256")

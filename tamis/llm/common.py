@@ -47,6 +47,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def values(batch: pa.Array, size: int = 256) -> Iterator:
+    """The values of an Arrow array, turned into Python objects a few at a time."""
+    for i in range(0, len(batch), size):
+        yield from batch.slice(i, size).to_pylist()
+
+
 def texts(batches: Iterator[pa.Array], size: int = 256) -> Iterator[tuple[int, Iterator[list]]]:
     """For each Arrow batch its length and its values in lists of at most ``size``."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.bpe import binary_coder
-from tamis.llm.common import staged
+from tamis.llm.common import staged, values
 
 _FIELDS = ("doc_id bigint", "piece int", "start bigint", "length bigint", "ids_crc32 bigint", "offset bigint")
 _BIN = "used bigint, done boolean, pieces array<struct<%s>>" % ", ".join(f.replace(" ", ":") for f in _FIELDS)
@@ -71,8 +71,7 @@ def _first_round(tokenizer: str, capacity: int, closing: int, slack: int, most:
         coder, items = binary_coder(tokenizer), []
         end, whole = closing.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, tokens in zip(ids, coder.encode(values)):
+            for doc, tokens in zip(batch.column(0).to_pylist(), coder.encode(values(batch.column(1)))):
                 tokens += end
                 for k in range(0, len(tokens), whole):
                     cut = tokens[k : k + whole]

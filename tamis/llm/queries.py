@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, packing
+from tamis.llm import bpe, language, packing
 from tamis.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,5 +19,9 @@ def op8_trie_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.round_trips(table(spark, path, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_trie_bpe)}
+def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
+    return language.languages(table(spark, path, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_trie_bpe, op10_string_kernel_language)}
 SQL: dict[str, str] = {}
