@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, language, packing
-from tamis.llm.common import table
+from tamis.llm import bpe, language, near, packing, quality
+from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,15 @@ def op3_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(table(spark, path, "documents"), TOKENIZER)
 
 
+def op6_crf_quality(spark: SparkSession, path: str) -> DataFrame:
+    return quality.rate(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+def op7_tensored_minhash(spark: SparkSession, path: str) -> DataFrame:
+    found = near.near_duplicates(table(spark, path, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_trie_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.round_trips(table(spark, path, "documents"), TOKENIZER)
 
@@ -23,5 +32,35 @@ def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_trie_bpe, op10_string_kernel_language)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op10_string_kernel_language)}
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+SQL = {
+    "op7_tensored_minhash": rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT doc_id, unnest(list_distinct(CASE
+        WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * pairs.n >= 85 * (x.n + y.n - pairs.n)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a
+), components AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+}
