@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, language, near, packing, quality
+from tamis.llm import bpe, language, near, packing, quality, rules
 from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,11 +28,17 @@ def op8_trie_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.round_trips(table(spark, path, "documents"), TOKENIZER)
 
 
+def op9_loglik_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Trusted are the documents that ``labels`` marks as good."""
+    trusted = table(spark, path, "labels").where("quality = 1").select("doc_id")
+    return rules.judge(table(spark, path, "documents"), trusted)
+
+
 def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op10_string_kernel_language)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 SQL = {
     "op7_tensored_minhash": rf"""
