@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, language, near, packing, quality, rules
+from tamis.llm import bpe, language, licences, near, packing, quality, rules
 from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,10 @@ def op3_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(table(spark, path, "documents"), TOKENIZER)
 
 
+def op4_diagonal_licences(spark: SparkSession, path: str) -> DataFrame:
+    return licences.scan(table(spark, path, "documents"))
+
+
 def op6_crf_quality(spark: SparkSession, path: str) -> DataFrame:
     return quality.rate(table(spark, path, "documents"), table(spark, path, "labels"))
 
@@ -38,9 +42,52 @@ def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_diagonal_licences, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', {i < len(licences.BASE)}, string_split('{text}', ' '), {2 if i < len(licences.BASE) else 3})"
+    for i, (label, text) in enumerate((*licences.BASE, *licences.NOTICES))
+)
 SQL = {
+    "op4_diagonal_licences": rf"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), templates(template, label, base, tw, k) AS (VALUES {_TEMPLATES}
+), template_grams AS (
+    SELECT template, label, base, k, len(tw) AS size, t, array_to_string(tw[t + 1 : t + k], ' ') AS gram
+    FROM (SELECT *, unnest(range(0, len(tw) - k + 1)) AS t FROM templates)
+), grams AS (
+    SELECT doc_id, k, d, array_to_string(w[d + 1 : d + k], ' ') AS gram FROM (
+        SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS d FROM words CROSS JOIN (VALUES (2), (3)) AS ks(k)
+        WHERE len(w) >= k)
+), voted AS (
+    SELECT doc_id, template, label, base, size, g.k AS k, d - t AS diagonal, list(DISTINCT t) AS ts
+    FROM grams g JOIN template_grams USING (k, gram) GROUP BY ALL
+), fresh AS (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 2
+        THEN 0 ELSE 1 END AS fresh, len(ts) = size - k + 1 AS is_whole FROM voted
+), numbered AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM fresh
+), merged AS (
+    SELECT doc_id, template, label, base, size, k, span, flatten(list(ts)) AS ts,
+        count(*) FILTER (is_whole) AS whole, min(diagonal) FILTER (is_whole) AS first_word,
+        max(diagonal) FILTER (is_whole) AS last_word
+    FROM numbered GROUP BY ALL
+), spans AS (
+    SELECT *, len(list_distinct(flatten([range(t, t + k) FOR t IN ts])))::DOUBLE / size AS covered FROM merged
+), found AS (
+    SELECT doc_id, sum(whole) FILTER (base) AS n_base, min(first_word) FILTER (base) AS first_word,
+        max(last_word) FILTER (base) AS last_word,
+        list_sort(list(DISTINCT label) FILTER (base AND whole > 0)) AS base_labels,
+        list_sort(list(DISTINCT label) FILTER ((base AND whole > 0) OR (NOT base AND covered >= 0.8))) AS labels,
+        max(covered) AS score
+    FROM spans GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+    coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+    coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM words LEFT JOIN found USING (doc_id)
+""",
     "op7_tensored_minhash": rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents
