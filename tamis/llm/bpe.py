@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import values
 
-#: Chunks between spaces that a worker remembers for certain (at most twice as many), and words in
-#: one trie. Reaching them costs time only: old chunks are forgotten, and a further trie follows.
-REMEMBERED, TRIE_WORDS = 250_000, 250_000
+#: Chunks between spaces, and words in them, that a worker remembers before it begins to forget those
+#: not met again. Forgetting costs time only.
+REMEMBERED = 350_000
 #: Letters by which the tokens that end at a node are looked up.
 TAIL = 5
 
@@ -186,16 +186,18 @@ class TextCoder:
         """Make sure that ``chunks`` holds these."""
         if len(self.chunks) + len(new) > REMEMBERED:
             self.chunks, self.older = {}, self.chunks
-        again = {c: self.older[c] for c in new if c in self.older}
+        chunks, older = self.chunks, self.older
+        again = {c: older[c] for c in new if c in older}
+        chunks.update(again)
         words = {c: _WORDS.findall(c.lower()) for c in new if c not in again}
-        distinct = {w: w.translate(self._as_bytes) for ws in words.values() for w in ws}
-        spelled = sorted(set(distinct.values()))
-        ids: dict[str, list[int]] = {}
-        for i in range(0, len(spelled), TRIE_WORDS):
-            ids.update(self.trie.encode(spelled[i : i + TRIE_WORDS]))
-        formed = {w: self.form(ids[s]) for w, s in distinct.items()}
-        self.chunks.update(again)
-        self.chunks.update((c, self.glue.join(map(formed.__getitem__, ws))) for c, ws in words.items())
+        # A word is remembered as a chunk of its own: other chunks differ in case or signs only.
+        fresh = {w for ws in words.values() for w in ws if w not in chunks}
+        chunks.update([(w, older[w]) for w in fresh if w in older])
+        spelled = {w: w.translate(self._as_bytes) for w in fresh if w not in older}
+        ids = dict(self.trie.encode(spelled.values()))
+        chunks.update([(w, self.form(ids[s])) for w, s in spelled.items()])
+        get, glue = chunks.__getitem__, self.glue.join
+        chunks.update([(c, glue(map(get, ws))) for c, ws in words.items() if c not in chunks])
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         plain = [bool(t) and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
