@@ -76,14 +76,15 @@ def presence(kept: list[str], shape: Shape) -> np.ndarray:
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """Up to ``per_language`` learnable documents of each language, by hash of the id.
 
-    Ranked within a share of each language first, so that no task gets a whole language.
+    Each of 64 shares of a language gives at most four times its part first, so that no task gets a
+    whole language.
     """
     slim = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id")))
     slim = slim.select("doc_id", "lang", F.xxhash64("doc_id").alias("_order"))
     share = Window.partitionBy("lang", F.pmod("_order", F.lit(64))).orderBy("_order", "doc_id")
     whole = Window.partitionBy("lang").orderBy("_order", "doc_id")
-    for window in (share, whole):
-        slim = slim.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= per_language)
+    for window, most in ((share, -(-per_language // 16)), (whole, per_language)):
+        slim = slim.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= most)
     rank = slim.groupBy("doc_id", "lang").agg(F.min("_rank").alias("_rank"))
     return docs.select("doc_id", "lang", "text").join(rank, ["doc_id", "lang"]).where(F.col("text").isNotNull())
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, language, licences, near, packing, quality, rules
+from tamis.llm import bpe, language, licences, near, packing, quality, rules, warc
 from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_warc_histories(spark: SparkSession, path: str) -> DataFrame:
+    found = warc.captures(table(spark, path, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(table(spark, path, "documents"), TOKENIZER)
 
@@ -42,13 +47,27 @@ def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_diagonal_licences, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
+QUERIES = {f.__name__: f for f in (op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _TEMPLATES = ", ".join(
     f"({i}, '{label}', {i < len(licences.BASE)}, string_split('{text}', ' '), {2 if i < len(licences.BASE) else 3})"
     for i, (label, text) in enumerate((*licences.BASE, *licences.NOTICES))
 )
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {}) & 31)::INT, 1)"
 SQL = {
+    "op2_warc_histories": f"""
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM payloads
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string([
+        {' || '.join(_DIGIT.format(s) for s in (15, 10, 5, 0))}
+        FOR v IN [('0x' || substr(h, 5 * g + 1, 5))::BIGINT FOR g IN range(0, 8)]], '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+""",
     "op4_diagonal_licences": rf"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
