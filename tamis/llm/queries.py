@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, language, licences, near, packing, quality, rules, warc
+from tamis.llm import bpe, hilbert, language, licences, near, packing, quality, rules, warc
 from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hilbert_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    return hilbert.neighbours(table(spark, path, "embeddings"))
+
+
 def op2_warc_histories(spark: SparkSession, path: str) -> DataFrame:
     found = warc.captures(table(spark, path, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,7 +51,7 @@ def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _TEMPLATES = ", ".join(
     f"({i}, '{label}', {i < len(licences.BASE)}, string_split('{text}', ' '), {2 if i < len(licences.BASE) else 3})"
