@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import bpe, hilbert, language, licences, near, packing, quality, rules, warc
+from tamis.llm import bpe, hilbert, language, licences, near, packing, quality, rules, warc, wrappers
 from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op4_diagonal_licences(spark: SparkSession, path: str) -> DataFrame:
     return licences.scan(table(spark, path, "documents"))
 
 
+def op5_wrapper_texts(spark: SparkSession, path: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, path, "pages"))
+
+
 def op6_crf_quality(spark: SparkSession, path: str) -> DataFrame:
     return quality.rate(table(spark, path, "documents"), table(spark, path, "labels"))
 
@@ -51,7 +55,7 @@ def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op5_wrapper_texts, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _TEMPLATES = ", ".join(
     f"({i}, '{label}', {i < len(licences.BASE)}, string_split('{text}', ' '), {2 if i < len(licences.BASE) else 3})"
