@@ -133,22 +133,20 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(enough).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` and the columns ``keep``, one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept, first_row)``, one row per row of ``docs``.
 
     Links join documents with at least ``percent`` of the union of their shingles in common; the
     component is named by its smallest id. Texts that are null or have no word have no shingles and
     no links. Rows that share an id and a text are linked like others and all are kept if that id is
     the smallest. A null id counts as larger than all; alone, it is kept. ``first_row`` marks one row
-    of each component, the one to keep where one must stay.
+    of each component, the one to keep where one must stay. With ``carry`` the struct ``row`` has all
+    columns of ``docs``, whatever their names.
     """
-    # Only columns of docs are named; the operator's own are in one struct, which cannot clash.
-    rows = docs.select("doc_id", *[c for c in keep if c != "doc_id"], F.struct("text").alias("_in"))
-    rows = rows.withColumn("_s", signature(F.col("_in.text"), scheme)).withColumn(
-        "_m", F.struct(F.monotonically_increasing_id().alias("row"), F.xxhash64("_in.text").alias("text_hash"))
-    )
-    rows = staged(rows.drop("_in"), "signed")
-    slim = rows.select("doc_id", "_s.*", "_m.*")
+    carried = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select("doc_id", signature(F.col("text"), scheme).alias("_s"), F.xxhash64("text").alias("text_hash"), *carried)
+    rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "signed")
+    slim = rows.select("doc_id", "_s.*", "text_hash", "row_id")
     nodes = slim.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("where")
     )
@@ -203,17 +201,17 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), keep: tuple[str,
         lanes *= 8
     named = nodes.select("node", F.col("where.doc_id").alias("id")).join(labels, "node", "left")
     named = named.select("node", "id", F.coalesce("label", "node").alias("label"))
-    ids = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("best"))
+    ids = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_id")).alias("best"))
     named = staged(named.drop("id").join(ids, "node"), "named")
     names = named.groupBy("label").agg(F.min("id").alias("component_id"), F.min("best").alias("best"))
-    found = named.select("node", "label").join(names, "label").select("node", "component_id", F.col("best.row").alias("first"))
+    found = named.select("node", "label").join(names, "label").select("node", "component_id", F.col("best.row_id").alias("first"))
     out = rows.join(found, rows["_s.node"] == found["node"], "left")
     component = F.when(F.col("_s.n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
-        *[c for c in keep if c != "doc_id"],
+        *(["row"] if carry else []),
         F.col("_s.n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
-        (F.col("first").isNull() | (F.col("first") == F.col("_m.row"))).alias("first_row"),
+        (F.col("first").isNull() | (F.col("first") == F.col("row_id"))).alias("first_row"),
     )
