@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -28,7 +30,7 @@ from tamis.llm.common import values
 
 #: Chunks between spaces, and words in them, that a worker remembers before it begins to forget those
 #: not met again. Forgetting costs time only.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 #: Letters by which the tokens that end at a node are looked up.
 TAIL = 5
 
@@ -81,7 +83,7 @@ class TrieEncoder:
                 tail = text[-TAIL - closing :]
                 self.reach[tail] = max(n, self.reach.get(tail, 0))
         self._tails: dict[str, tuple[int, list[tuple[int, int]]]] = {}
-        self._fits: dict[int, bool] = {}
+        self._fits: defaultdict[int, dict[int, bool]] = defaultdict(dict)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``.
@@ -117,14 +119,38 @@ class TrieEncoder:
             if token is not None:
                 yield depth - start, token
 
+    def _state(self, word: str, depth: int, lasts: list[int]) -> int:
+        """The last token of the encoding of the first ``depth`` letters, or of the whole word."""
+        closed = depth == len(word)
+        tail = word[depth - TAIL if depth > TAIL else 0 : depth] + (self.end if closed else "")
+        reach, ending = self._tails.get(tail) or self._ending(tail)
+        if reach and depth > TAIL:
+            ending = [*self._longer(word[:depth] + self.end * closed, depth, reach), *ending]
+        token = -1
+        for length, token in ending:
+            if length == depth:
+                break
+            before = lasts[depth - length]
+            if before < 0:
+                before = self._state(word, depth - length, lasts)
+            known = self._fits[token]
+            fits = known.get(before)
+            if fits is None:
+                fits = known[before] = self.fits(before, token)
+            if fits:
+                break
+        lasts[depth] = token
+        return token
+
     def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word with its ids.
 
         In sorted order the words are the depth-first traversal of their trie: what a word shares
         with the one before is the part of the path that stays on the stack. ``lasts[d]`` is the
-        last token of the encoding of the first ``d`` letters, the state of the node at that depth.
+        last token of the encoding of the first ``d`` letters, the state of the node at that depth,
+        found when it is first asked for (-1 before that).
         """
-        known, size, end = self._fits, self.size, self.end
+        size, state = self.size, self._state
         path, lasts = "", [-1]
         for word in sorted(set(words)):
             if not word:
@@ -133,26 +159,11 @@ class TrieEncoder:
             keep, most = 0, min(len(path), n - 1)
             while keep < most and path[keep] == word[keep]:
                 keep += 1
-            del lasts[keep + 1 :]
-            for depth in range(keep + 1, n + 1):
-                tail = word[depth - TAIL if depth > TAIL else 0 : depth]
-                if depth == n:
-                    tail += end
-                reach, ending = self._tails.get(tail) or self._ending(tail)
-                if reach and depth > TAIL:
-                    ending = [*self._longer(word[:depth] + end * (depth == n), depth, reach), *ending]
-                for length, token in ending:
-                    if length == depth:
-                        break
-                    pair = lasts[depth - length] << 32 | token
-                    fits = known.get(pair)
-                    if fits is None:
-                        fits = known[pair] = self.fits(lasts[depth - length], token)
-                    if fits:
-                        break
-                lasts.append(token)
+            lasts[keep + 1 :] = [-1] * (n - keep)
             path = word[:-1]
-            token = lasts.pop()
+            for depth in range(keep + 1, n if n > 200 else 0):  # from the front, or the recursion gets deep
+                state(word, depth, lasts)
+            token = state(word, n, lasts)
             ids, at = [token], n - size[token]
             while at:
                 token = lasts[at]
@@ -160,8 +171,8 @@ class TrieEncoder:
                 at -= size[token]
             ids.reverse()
             yield word, ids
-        if len(known) > 1_000_000:
-            known.clear()
+        if sum(map(len, self._fits.values())) > 1_000_000:
+            self._fits.clear()
 
 
 class TextCoder:
@@ -187,17 +198,27 @@ class TextCoder:
         if len(self.chunks) + len(new) > REMEMBERED:
             self.chunks, self.older = {}, self.chunks
         chunks, older = self.chunks, self.older
-        again = {c: older[c] for c in new if c in older}
-        chunks.update(again)
-        words = {c: _WORDS.findall(c.lower()) for c in new if c not in again}
-        # A word is remembered as a chunk of its own: other chunks differ in case or signs only.
-        fresh = {w for ws in words.values() for w in ws if w not in chunks}
-        chunks.update([(w, older[w]) for w in fresh if w in older])
-        spelled = {w: w.translate(self._as_bytes) for w in fresh if w not in older}
-        ids = dict(self.trie.encode(spelled.values()))
-        chunks.update([(w, self.form(ids[s])) for w, s in spelled.items()])
-        get, glue = chunks.__getitem__, self.glue.join
-        chunks.update([(c, glue(map(get, ws))) for c, ws in words.items() if c not in chunks])
+        words: dict[str, list[str]] = {}
+        spelled: dict[str, str] = {}
+        letters, find = self._as_bytes, _WORDS.findall
+        for chunk in new:
+            if chunk in older:
+                chunks[chunk] = older[chunk]
+                continue
+            words[chunk] = parts = find(chunk.lower())
+            # A word is remembered as a chunk of its own: other chunks differ in case or signs only.
+            for word in parts:
+                if word not in chunks:
+                    if word in older:
+                        chunks[word] = older[word]
+                    else:
+                        spelled[word.translate(letters)] = word
+        form, get, glue = self.form, chunks.__getitem__, self.glue.join
+        for letter_bytes, ids in self.trie.encode(spelled):
+            chunks[spelled[letter_bytes]] = form(ids)
+        for chunk, parts in words.items():
+            if chunk not in chunks:
+                chunks[chunk] = get(parts[0]) if len(parts) == 1 else glue(map(get, parts))
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         plain = [bool(t) and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
@@ -218,7 +239,7 @@ class TextCoder:
                 out.append(b"")
         return out
 
-    def encode(self, texts: Iterable[str | None], size: int = 3_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], size: int = 5_000_000) -> Iterator[bytes]:
         """The glued forms of each text, a trie for every ``size`` characters; a null text is empty."""
         some, held = [], 0
         for text in texts:
@@ -235,7 +256,7 @@ def decimal(ids: list[int]) -> bytes:
 
 
 def little_endian(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)
