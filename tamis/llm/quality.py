@@ -31,10 +31,12 @@ WIDTH = OWN + 2 * (len(NEAR) + 1)
 
 @dataclass(frozen=True)
 class Field:
-    """``weights`` of bad against good; ``moves[i, j]`` from label i to j, 0 good and 1 bad."""
+    """``weights`` of bad against good; ``moves[i, j]`` from label i to j, 0 good and 1 bad; scores are
+    raised to ``power``."""
 
     weights: np.ndarray
     moves: np.ndarray
+    power: float = 1.0
 
 
 def lines(text: str | None) -> list[tuple[float, ...]]:
@@ -167,7 +169,21 @@ def fit(
     bad = np.repeat([r["quality"] == 0 for r in rows], np.diff(starts)).astype(np.float64)
     first = _fit(x, bad, starts, False, rounds, decay)
     mended = bad * (x @ first.weights > 0)
-    return _fit(x, mended, starts, True, rounds, decay)
+    field = _fit(x, mended, starts, True, rounds, decay)
+    # Good documents lie close to 1: the power moves the middle between them and 0.7 to 0.7.
+    good = _weighed(x @ field.weights, np.concatenate(own)[:, 0], starts, field.moves)
+    good = good[[r["quality"] == 1 and len(o) > 0 for r, o in zip(rows, own)]]
+    low = float(np.quantile(good, 0.01)) if len(good) else 0.7
+    return Field(field.weights, field.moves, float(np.log(0.7) / np.log((0.7 + max(0.7, low)) / 2)))
+
+
+def _weighed(evidence: np.ndarray, sizes: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Length-weighted mean of the probability of good, for each document."""
+    ahead, back = odds(evidence, starts, moves)
+    good = np.cumsum(np.concatenate([[0], sizes * _sigmoid(-ahead - back)]))
+    total = np.cumsum(np.concatenate([[0], sizes]))
+    share = (good[starts[1:]] - good[starts[:-1]]) / np.maximum(total[starts[1:]] - total[starts[:-1]], 1)
+    return np.clip(share, 0, 1)
 
 
 def scores(batch: list[str | None], field: Field) -> list[float]:
@@ -176,12 +192,7 @@ def scores(batch: list[str | None], field: Field) -> list[float]:
     starts = np.cumsum([0, *map(len, own)])
     rows = np.concatenate(own)
     evidence = with_neighbours(rows[:, 1:], starts) @ field.weights
-    ahead, back = odds(evidence, starts, field.moves)
-    weighed = np.cumsum(np.concatenate([[0], rows[:, 0] * _sigmoid(-ahead - back)]))
-    total = np.cumsum(np.concatenate([[0], rows[:, 0]]))
-    size = total[starts[1:]] - total[starts[:-1]]
-    good = (weighed[starts[1:]] - weighed[starts[:-1]]) / np.maximum(size, 1)
-    return np.clip(good, 0, 1).tolist()
+    return (_weighed(evidence, rows[:, 0], starts, field.moves) ** field.power).tolist()
 
 
 def score(text: Column, field: Field) -> Column:
