@@ -6,10 +6,10 @@ tables of ``2 * hashes`` minhashes need ``2 * collections * hashes`` minhashes i
 root of what separate tables would take. At similarity 0.85 a pair shares no table with probability
 ``2 * (1 - 0.85**3)**10``, about 1 in 7,000.
 
-Equal shingle sets are one node. In each table bucket all nodes are compared with one pivot; after
-that only pairs of different components are open, and further pivots are taken from those outside
-the component of the first until none is left. So every pair that shares a bucket is either compared
-or known to be connected, and copies are not expanded into pairs. Comparisons are made on full sets.
+Equal shingle sets are one node. Nodes are first compared with the heads of their table buckets; after
+that only pairs of different components are open, and further pivots are taken until none is left.
+So every pair that shares a bucket is compared, ruled out by its sizes and keys, or known to be
+connected, and copies are not expanded into pairs. Comparisons are made on full sets.
 """
 
 from __future__ import annotations
@@ -74,14 +74,14 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def signature(text: Column, scheme: Scheme) -> Column:
-    """``struct(n, node, keys)``: set size, its 128-bit identity, and the keys of all collections."""
+    """``struct(n, identity, keys)``: set size, its 128-bit identity, and the keys of all collections."""
     rng = np.random.default_rng(scheme.seed)
     count = 2 * scheme.collections * scheme.hashes
     flips = rng.integers(0, 2**64, count, np.uint64)
     factors = rng.integers(0, 2**64, count, np.uint64) | np.uint64(1)
     salts = np.arange(1, 2 * scheme.collections + 1, dtype=np.uint64) * _P3
 
-    @F.arrow_udf("struct<n: bigint, node: binary, keys: array<bigint>>")
+    @F.arrow_udf("struct<n: bigint, identity: binary, keys: array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes, nodes, keys = [], [], []
@@ -99,7 +99,7 @@ def signature(text: Column, scheme: Scheme) -> Column:
                     key = _mix(key * _P1 + part)
                 keys.append(key.view(np.int64))
             arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(arrays, ["n", "node", "keys"])
+            yield pa.StructArray.from_arrays(arrays, ["n", "identity", "keys"])
 
     return run(text)
 
@@ -146,66 +146,22 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     carried = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select("doc_id", signature(F.col("text"), scheme).alias("_s"), F.xxhash64("text").alias("text_hash"), *carried)
     rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "signed")
-    slim = rows.select("doc_id", "_s.*", "text_hash", "row_id")
-    nodes = slim.where("n > 0").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("where")
+    slim = rows.select("doc_id", "_s.*", "text_hash", "row_id").where("n > 0")
+    nodes = slim.groupBy("identity").agg(
+        F.first("n").alias("n"),
+        F.first("keys").alias("keys"),
+        F.min(F.struct("doc_id", "text_hash")).alias("where"),
+        F.min("doc_id").alias("id"),
+        F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_id")).alias("best"),
     )
-    nodes = staged(nodes, "nodes")
-    members = staged(_buckets(nodes, scheme), "members")
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("_n")).where("_n > 1")
-    joined = members.withColumnRenamed("node", "a").join(pivots.select("bucket", "b"), "bucket").where("a != b")
-    sizes = nodes.select("node", "n")
-    close = lambda m, n: (m * 100 >= scheme.percent * n) & (n * 100 >= scheme.percent * m)
-    pairs = joined.select("a", "b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
-    pairs = staged(pairs.where(close(F.col("n_a"), F.col("n_b"))).select("a", "b"), "pairs")
-
-    # The sets of all nodes that share a bucket: their texts are read once more.
-    wanted = members.join(pivots.select("bucket"), "bucket", "left_semi").select("node").distinct()
-    where = nodes.join(wanted, "node", "left_semi").select("node", "where.*")
-    source = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    same = source["doc_id"].eqNullSafe(where["doc_id"]) & (source["text_hash"] == where["text_hash"])
-    # Repeated rows would give a node's set again; the set is the same, so any will do.
-    sets = source.join(where, same).select("node", "text").dropDuplicates(["node"])
-    sets = staged(sets.select("node", shingle_set(F.col("text"), scheme).alias("set")), "sets")
-
-    path = scratch(docs.sparkSession, "similar")
-    _compare(pairs, sets, scheme).write.parquet(path)
-    links = docs.sparkSession.read.schema("a binary, b binary").parquet(path)
-    labels = components(links)
-    open_members, lanes = members, 8
-    while True:
-        labelled = open_members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        spread = labelled.groupBy("bucket").agg(F.min("label").alias("anchor"), F.max("label").alias("_top")).where("anchor != _top")
-        labelled = staged(labelled.join(spread.select("bucket", "anchor"), "bucket"), "open")
-        if labelled.isEmpty():
-            break
-        # Pivots: of each lane of a bucket the first node outside the anchor's component.
-        lane = F.pmod(F.xxhash64("node"), F.lit(lanes))
-        outside = labelled.where("label != anchor").groupBy("bucket", lane.alias("_lane"))
-        pivots = outside.agg(F.min_by("label", "node").alias("label_b"), F.min("node").alias("b")).drop("_lane")
-        pairs = labelled.select("bucket", F.col("node").alias("a"), "label").join(pivots, "bucket").where("label != label_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        keys = nodes.select("node", "n", "keys")
-        for side in ("a", "b"):
-            pairs = pairs.join(keys.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("keys").alias(f"k_{side}")), side)
-        # A pair above the limit has 12 of 20 keys in common on average, and fewer than 3 once in a million.
-        alike = F.size(F.array_intersect("k_a", "k_b")) >= 3
-        pairs = pairs.where(close(F.col("n_a"), F.col("n_b")) & alike).select("a", "b")
-        _compare(pairs, sets, scheme).write.mode("append").parquet(path)
-        links = docs.sparkSession.read.schema("a binary, b binary").parquet(path)
-        labels = components(links)
-        # A pivot's pairs are all compared now.
-        open_members = labelled.select("bucket", "node").join(pivots.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
-        lanes *= 8
-    named = nodes.select("node", F.col("where.doc_id").alias("id")).join(labels, "node", "left")
-    named = named.select("node", "id", F.coalesce("label", "node").alias("label"))
-    ids = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_id")).alias("best"))
-    named = staged(named.drop("id").join(ids, "node"), "named")
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = _linked(docs, nodes, scheme)
+    named = nodes.select("identity", "node", "id", "best").join(labels, "node", "left")
+    named = staged(named.select("identity", "id", "best", F.coalesce("label", "node").alias("label")), "named")
     names = named.groupBy("label").agg(F.min("id").alias("component_id"), F.min("best").alias("best"))
-    found = named.select("node", "label").join(names, "label").select("node", "component_id", F.col("best.row_id").alias("first"))
-    out = rows.join(found, rows["_s.node"] == found["node"], "left")
+    found = named.select("identity", "label").join(names, "label")
+    found = found.select("identity", "component_id", F.col("best.row_id").alias("first"))
+    out = rows.join(found, rows["_s.identity"] == found["identity"], "left")
     component = F.when(F.col("_s.n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
@@ -215,3 +171,93 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         (F.col("first").isNull() | (F.col("first") == F.col("row_id"))).alias("first_row"),
     )
+
+
+def _opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold more than one component, with the bucket's first node as head."""
+    if labels is None:
+        labelled = members.select("bucket", "node", F.col("node").alias("label"))
+    else:
+        labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    heads = labelled.groupBy("bucket").agg(
+        F.min("node").alias("head"), F.min("label").alias("_low"), F.max("label").alias("_high")
+    )
+    heads = heads.where("_low != _high").select("bucket", "head")
+    return staged(labelled.join(heads, "bucket"), "open")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(node, label)`` of all nodes that are linked with another.
+
+    At first every node is compared with one head only, the smallest of its open buckets, round by
+    round while that links many: in a large group of copies most buckets are closed by then. After
+    that the open buckets are searched to the end: each round takes, in each of more and more lanes
+    of a bucket, the first node outside the component of the head as a pivot and compares it with
+    all members of other components; a pivot is then done and leaves the bucket.
+    """
+    spark = docs.sparkSession
+    profile = nodes.select("node", "n", "keys")
+    members = staged(_buckets(nodes, scheme), "members")
+    opened = _opened(members, None)
+
+    # The sets of all nodes that share a bucket: their texts are read once more.
+    where = nodes.join(opened.select("node").distinct(), "node", "left_semi").select("node", "where.*")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    same = source["doc_id"].eqNullSafe(where["doc_id"]) & (source["text_hash"] == where["text_hash"])
+    # Repeated rows would give a node's set again; the set is the same, so any will do.
+    sets = source.join(where, same).select("node", "text").dropDuplicates(["node"])
+    sets = staged(sets.select("node", shingle_set(F.col("text"), scheme).alias("set")), "sets")
+
+    similar, compared = scratch(spark, "similar"), scratch(spark, "compared")
+    schema, labels = "a bigint, b bigint", None
+
+    def likely(na, nb, ka, kb):
+        # A pair above the limit has 12 of 20 keys in common on average, and fewer than 3 once in a million.
+        close = (na * 100 >= scheme.percent * nb) & (nb * 100 >= scheme.percent * na)
+        return close & (F.size(F.array_intersect(ka, kb)) >= 3)
+
+    def try_pairs(pairs: DataFrame) -> tuple[int, int, DataFrame]:
+        """Compare new pairs; how many there were, how many links there are now, and the labels."""
+        pairs = staged(pairs, "pairs")
+        pairs.write.mode("append").parquet(compared)
+        _compare(pairs, sets, scheme).write.mode("append").parquet(similar)
+        links = spark.read.schema(schema).parquet(similar)
+        return pairs.count(), links.count(), components(links)
+
+    many, before = True, 0
+    while many and not opened.isEmpty():
+        heads = opened.where("node != head").select("node", "head").distinct()
+        if labels is not None:
+            done = spark.read.schema(schema).parquet(compared).select(F.col("a").alias("head"), F.col("b").alias("node"))
+            of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("_head"))
+            of_node = labels.select("node", F.col("label").alias("_node"))
+            heads = heads.join(done, ["node", "head"], "left_anti").join(of_head, "head", "left").join(of_node, "node", "left")
+            heads = heads.where(F.coalesce("_node", "node") != F.coalesce("_head", "head"))
+        pairs = heads.groupBy("node").agg(F.min("head").alias("head"))
+        one = profile.select("node", F.col("n").alias("n_b"), F.col("keys").alias("k_b"))
+        two = profile.select(F.col("node").alias("head"), F.col("n").alias("n_a"), F.col("keys").alias("k_a"))
+        pairs = pairs.join(one, "node").join(two, "head")
+        # Unlikely pairs count as compared.
+        pairs = pairs.select(F.col("head").alias("a"), F.col("node").alias("b"), likely(F.col("n_a"), F.col("n_b"), F.col("k_a"), F.col("k_b")).alias("ok"))
+        pairs = staged(pairs, "heads")
+        pairs.where("not ok").select("a", "b").write.mode("append").parquet(compared)
+        tried, linked, labels = try_pairs(pairs.where("ok").select("a", "b"))
+        many, before = linked - before > 0.1 * tried and tried > 0, linked
+        opened = _opened(opened.select("bucket", "node"), labels)
+    lanes = 8
+    while not opened.isEmpty():
+        head_label = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+        full = opened.join(head_label, "head", "left").withColumn("head_label", F.coalesce("head_label", "head"))
+        lane = F.pmod(F.xxhash64("node"), F.lit(lanes)).alias("_lane")
+        outside = full.where("label != head_label").groupBy("bucket", lane).agg(F.min("node").alias("node"))
+        pivots = staged(outside.select("bucket", "node").join(opened, ["bucket", "node"]).join(profile, "node"), "pivots")
+        one = opened.join(profile, "node").select("bucket", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("n").alias("n_x"), F.col("keys").alias("k_x"))
+        two = pivots.select(F.col("bucket").alias("bucket_"), F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("n").alias("n_y"), F.col("keys").alias("k_y"))
+        meet = (F.col("bucket") == F.col("bucket_")) & (F.col("l_x") != F.col("l_y"))
+        met = one.join(two, meet & likely(F.col("n_x"), F.col("n_y"), F.col("k_x"), F.col("k_y")))
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.join(spark.read.schema(schema).parquet(compared), ["a", "b"], "left_anti")
+        _, _, labels = try_pairs(pairs)
+        opened = _opened(opened.select("bucket", "node").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
+        lanes *= 8
+    return labels if labels is not None else spark.createDataFrame([], "node bigint, label bigint")
