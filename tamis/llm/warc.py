@@ -240,9 +240,10 @@ def histories(entries: DataFrame, parts: int | None = None) -> DataFrame:
     names = entries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         columns = {n: table[n].to_pylist() for n in order}
         by_run: dict[str, list] = {}
         for i, name in enumerate(columns["archive"]):
