@@ -92,7 +92,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]
     before they are shuffled.
     """
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("_t", F.lit(1).cast("bigint"))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left")
+    # The ids grow with the corpus: they are never broadcast, and the plan is the same at every size.
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left")
     grams = _grams(marked.select("text", F.coalesce("_t", F.lit(0)).alias("_t")))
     each = grams.select("_t", F.explode(F.concat("_h", "_p")).alias("_g"))
     each = each.groupBy(_bucket(F.col("_g"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))

@@ -93,17 +93,16 @@ def test_licences_on_odd_texts(spark, documents):
     texts = [
         (1, None), (2, ""), (3, "MIT License"), (4, "the mit-license, MIT\nLICENSE mit licenses"), (5, "cc by cc by"),
         (6, "Licensed under CC BY-NC 4.0."), (7, "GNU General Public License gnu general public license"), (8, "K cc by İ"),
-        (9, mit.replace("any person", "any other person").upper()), (10, "permission is hereby granted"), (None, "cc by"),
+        (9, mit.replace("any person", "any of the persons").upper()), (10, "permission is hereby granted"), (None, "cc by"),
         (3, "MIT License"), (3, "other"), (11, "all rights reserved. All rights, reserved"), (12, "x " * 40_000 + "cc by"),
         (13, "é" * 50 + " apache license"), (14, "licensed under the apache license version 2 0"),
     ]
     out = licences.scan(documents(*texts)).collect()
-    key = lambda r: (str(r[0]), r[1:])
     got = sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out), key=str)
     want = sorted(((d, *places(t)[:4], ",".join(places(t)[4])) for d, t in texts), key=str)
-    assert got == want, key
+    assert got == want
     labels = {(r["doc_id"], r["n_words"]): (r["labels"], r["score"]) for r in out}
-    assert labels[6, 6] == ("cc-by,cc-by-nc-4.0", 1.0)
+    assert labels[6, 7] == ("cc-by,cc-by-nc-4.0", 1.0)
     assert labels[9, places(texts[8][1])[0]][0] == "mit" and labels[9, places(texts[8][1])[0]][1] < 1
     assert labels[10, 4][0] == "" and 0 < labels[10, 4][1] < 0.8
     assert labels[11, 6] == ("all-rights-reserved", 1.0)
