@@ -114,14 +114,28 @@ def shingle_set(text: Column, scheme: Scheme) -> Column:
 
 
 def _buckets(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(bucket, node)`` of table buckets, for the collections whose key some other node has too."""
+    """``(bucket, node, at)`` of table buckets, for the collections whose key some other node has too;
+    ``at`` numbers the table by its two collections."""
     held = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     kept = held.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list(F.struct("pos", "key")).alias("k"))
     first = F.filter("k", lambda x: x["pos"] < scheme.collections)
     second = F.filter("k", lambda x: x["pos"] >= scheme.collections)
-    tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["key"], y["key"]))))
-    return kept.select("node", F.explode(tables).alias("bucket"))
+    cell = lambda x, y: F.struct(F.xxhash64(x["key"], y["key"]).alias("bucket"), _table(x["pos"], y["pos"]).alias("at"))
+    tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: cell(x, y))))
+    return kept.select("node", F.explode(tables).alias("_t")).select("_t.bucket", "node", "_t.at")
+
+
+def _table(i: Column, j: Column) -> Column:
+    return (i * 1000 + j).cast("int")
+
+
+def _first_table(kx: Column, ky: Column, scheme: Scheme) -> Column:
+    """The first of the tables that two nodes share."""
+    c = scheme.collections
+    equal = lambda start: F.zip_with(F.slice(kx, start, c), F.slice(ky, start, c), lambda a, b: a == b)
+    place = lambda start: (F.array_position(equal(start), True) + (start - 2)).cast("int")
+    return _table(place(1), place(c + 1))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -176,9 +190,9 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
 def _opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the buckets that hold more than one component, with the bucket's first node as head."""
     if labels is None:
-        labelled = members.select("bucket", "node", F.col("node").alias("label"))
+        labelled = members.select("bucket", "node", "at", F.col("node").alias("label"))
     else:
-        labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        labelled = members.join(labels, "node", "left").select("bucket", "node", "at", F.coalesce("label", "node").alias("label"))
     heads = labelled.groupBy("bucket").agg(
         F.min("node").alias("head"), F.min("label").alias("_low"), F.max("label").alias("_high")
     )
@@ -243,7 +257,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
         pairs.where("not ok").select("a", "b").write.mode("append").parquet(compared)
         tried, linked, labels = try_pairs(pairs.where("ok").select("a", "b"))
         many, before = linked - before > 0.1 * tried and tried > 0, linked
-        opened = _opened(opened.select("bucket", "node"), labels)
+        opened = _opened(opened.select("bucket", "node", "at"), labels)
     lanes = 8
     while not opened.isEmpty():
         head_label = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
@@ -251,13 +265,15 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
         lane = F.pmod(F.xxhash64("node"), F.lit(lanes)).alias("_lane")
         outside = full.where("label != head_label").groupBy("bucket", lane).agg(F.min("node").alias("node"))
         pivots = staged(outside.select("bucket", "node").join(opened, ["bucket", "node"]).join(profile, "node"), "pivots")
-        one = opened.join(profile, "node").select("bucket", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("n").alias("n_x"), F.col("keys").alias("k_x"))
+        one = opened.join(profile, "node").select("bucket", "at", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("n").alias("n_x"), F.col("keys").alias("k_x"))
         two = pivots.select(F.col("bucket").alias("bucket_"), F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("n").alias("n_y"), F.col("keys").alias("k_y"))
+        # A pair meets in the first of its tables only.
         meet = (F.col("bucket") == F.col("bucket_")) & (F.col("l_x") != F.col("l_y"))
+        meet = meet & (F.col("at") == _first_table(F.col("k_x"), F.col("k_y"), scheme))
         met = one.join(two, meet & likely(F.col("n_x"), F.col("n_y"), F.col("k_x"), F.col("k_y")))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = pairs.join(spark.read.schema(schema).parquet(compared), ["a", "b"], "left_anti")
         _, _, labels = try_pairs(pairs)
-        opened = _opened(opened.select("bucket", "node").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
+        opened = _opened(opened.select("bucket", "node", "at").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
         lanes *= 8
     return labels if labels is not None else spark.createDataFrame([], "node bigint, label bigint")
