@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.inputs import WORD, WS, documents, joined, table
 from tamis.functions.text import profile_tokens
 from tamis.functions.wordlists import TEXT_RULES, TOKEN_RULES
-from tamis.operators import masking
+from tamis.operators import corpus, masking
 
 SEEDED = {
     " the ": " liberal ",
@@ -53,10 +53,11 @@ def _at(level, rule_set="strict"):
     return query
 
 
-def f10_places_by_join(spark, path):
-    """The way for gazetteers too large to look up inside the row."""
-    masked = masking.mask_places(seeded_tokens(spark, path), place_names(spark, path), in_row_limit=0)
-    return masked.select("doc_id", joined())
+def j2_gazetteer_lookup(spark, path):
+    """Every place of a token that is no name: an anti-join of the exploded tokens."""
+    places = corpus.token_places(seeded_tokens(spark, path))
+    left = places.join(place_names(spark, path), F.col("token") == F.col("name"), "left_anti")
+    return left.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
 def f10_places(spark, path):
@@ -78,11 +79,10 @@ QUERIES = {
     "f8_mask_figures": _at(2),
     "f9_mask_topics": _at(3),
     "f10_places": f10_places,
-    "f10_places_by_join": f10_places_by_join,
     "f11_mask_all_levels": _at(4),
     "f11_mask_disabled": _at(0),
     "f12_mask_text": f12_mask_text,
-    "j2_gazetteer_lookup": f10_places,
+    "j2_gazetteer_lookup": j2_gazetteer_lookup,
     "u1_gazetteer": u1_gazetteer,
 }
 
@@ -130,13 +130,12 @@ SQL = {
     "f8_mask_figures": _masked(_no_match(2)),
     "f9_mask_topics": _masked(_no_match(3)),
     "f10_places": _masked(_NO_PLACE),
-    "f10_places_by_join": _masked(_NO_PLACE),
     "f11_mask_all_levels": _masked(f"{_no_match(3)} AND {_NO_PLACE}"),
     "f11_mask_disabled": _masked("true"),
     "f12_mask_text": f"WITH {_TOKENS}, {_NAMES}, cut AS (SELECT doc_id, trim(regexp_replace({_TEXT}, '{WS}+', ' ', 'g')) AS text FROM seeded), "
     "w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM cut), "
     "kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM w WHERE word NOT IN (SELECT name FROM names) GROUP BY doc_id) "
     "SELECT cut.doc_id, coalesce(kept.text, '') AS text FROM cut LEFT JOIN kept USING (doc_id)",
-    "j2_gazetteer_lookup": _masked(_NO_PLACE),
+    "j2_gazetteer_lookup": f"WITH {_TOKENS}, {_NAMES}, {_OCC} SELECT doc_id, pos - 1 AS pos, token FROM occ WHERE {_NO_PLACE}",
     "u1_gazetteer": f"WITH {_NAMES} SELECT name FROM names",
 }

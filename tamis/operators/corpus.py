@@ -25,6 +25,48 @@ def token_places(docs: DataFrame) -> DataFrame:
     return exploded.where(F.col("token").isNotNull())
 
 
+def token_sets(docs: DataFrame) -> DataFrame:
+    """``(doc_id, token)``: each token of a document once, made inside the row."""
+    exploded = docs.select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("token"))
+    return exploded.where(F.col("token").isNotNull())
+
+
+def with_table(
+    rows: DataFrame, keyed: DataFrame, key: str, on: Column | None = None, how: str = "inner"
+) -> DataFrame:
+    """Join rows to a table with one row per key, so that no frequent key meets in one task.
+
+    Keys that make up at least ``1 / _HOT_SHARE`` of the rows are looked up in a broadcast, of which
+    there are at most ``_HOT_SHARE``; the shuffle sees the others only. ``how`` is ``inner``,
+    ``left`` or ``left_semi``. ``key`` names the column in ``keyed`` and, unless ``on`` gives an
+    expression, in ``rows``; the result has the columns of ``rows`` and the others of ``keyed``.
+    The rows are read twice more for the counts: pass a written table or what is cheap to make.
+    """
+    marked = rows.withColumn("_key", F.col(key) if on is None else on)
+    freq = marked.groupBy("_key").agg(F.count("*").alias("_n"))
+    hot_from = freq.agg(F.sum("_n") / _HOT_SHARE).scalar()
+    hot = freq.where((F.col("_n") >= hot_from) & F.col("_key").isNotNull()).select("_key", F.lit(True).alias("_hot"))
+    split = marked.join(F.broadcast(hot), "_key", "left")
+    table = keyed.withColumnRenamed(key, "_key")
+    often = table.join(F.broadcast(hot.select("_key")), "_key", "left_semi")
+    parts = (
+        split.where(F.col("_hot")).join(F.broadcast(often), "_key", how),
+        split.where(F.col("_hot").isNull()).join(table, "_key", how),
+    )
+    return parts[0].unionByName(parts[1]).drop("_hot", "_key")
+
+
+def remove_tokens(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Delete the tokens listed in ``gone(doc_id, token)`` wherever they stand; emptied documents stay."""
+    lists = gone.groupBy("doc_id").agg(F.collect_list("token").alias("_gone"))
+    left = F.filter("tokens", lambda t: ~F.array_contains("_gone", t))
+    return (
+        docs.join(lists, "doc_id", "left")
+        .withColumn("tokens", F.when(F.col("_gone").isNull(), F.col("tokens")).otherwise(left))
+        .select(*docs.columns)
+    )
+
+
 def token_frequencies(docs: DataFrame) -> DataFrame:
     """``(token, n)`` over the corpus, combined before the shuffle."""
     return (
@@ -187,8 +229,7 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
     """
     changes = lemmas.where(F.col("form") != F.col("lemma"))
     changed = (
-        token_places(docs)
-        .join(changes, F.col("token") == F.col("form"))
+        with_table(token_places(docs), changes, "form", on=F.col("token"))
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("_changes"))
     )

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.text import collapse_blanks
 from tamis.functions.wordlists import TEXT_RULES, TOKEN_RULES
-from tamis.operators.corpus import remove_places, token_places
+from tamis.operators.corpus import remove_tokens, token_sets
 
 PLACE_LEVEL = 4
-# Names up to this number are looked up inside the row; more of them go through a join.
-_IN_ROW_NAMES = 100_000
 
 Rules = Mapping[int, Sequence[str]]
 
@@ -51,30 +49,24 @@ def gazetteer(*name_tables: DataFrame) -> DataFrame:
     return merged.where(F.col("name").isNotNull()).distinct()
 
 
-def _names_if_few(names: DataFrame, limit: int) -> list[str] | None:
-    """The names, or None when there are more than ``limit``: never reads more than that."""
-    head = names.limit(limit + 1).toPandas()
-    return None if len(head) > limit else sorted(head.iloc[:, 0])
+def _one_column(names: DataFrame) -> DataFrame:
+    return names.select(F.lower(F.col(names.columns[0])).alias("name")).where("name IS NOT NULL").distinct()
 
 
-def _in_names(value: str, names: Iterable[str]) -> str:
-    quoted = ",".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
-    return f"lower({value}) IN ({quoted})"
-
-
-def mask_places(docs: DataFrame, names: DataFrame, in_row_limit: int = _IN_ROW_NAMES) -> DataFrame:
+def mask_places(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Drop tokens that are a name in the gazetteer. Names of several words match no token.
 
-    A gazetteer of checked size becomes a hash set inside the row expression: no shuffle at all. A
-    larger one is joined by token, and only the hits are joined back to their documents.
+    ``names`` has one column, of any name; nulls in it match nothing. A document sends each of its
+    distinct tokens to the join once, adaptive execution splits what frequent tokens send, and only
+    the hits are joined back to their documents.
     """
-    few = _names_if_few(names, in_row_limit)
-    if few is None:
-        hits = token_places(docs).withColumn("name", F.lower("token")).join(names, "name", "left_semi")
-        return remove_places(docs, hits)
-    if not few:
-        return docs
-    return docs.withColumn("tokens", F.expr(f"filter(tokens, t -> NOT {_in_names('t', few)})"))
+    sent = token_sets(docs).withColumn("name", F.lower("token"))
+    return remove_tokens(docs, sent.join(_one_column(names), "name", "left_semi"))
+
+
+def _need_names(level: int, names: object) -> None:
+    if level >= PLACE_LEVEL and names is None:
+        raise ValueError(f"mask level {level} removes place names: pass a gazetteer (argument names)")
 
 
 def mask(
@@ -83,11 +75,12 @@ def mask(
     names: DataFrame | None = None,
     rule_set: str = "strict",
 ) -> DataFrame:
-    """All token masks up to ``level``; level 0 changes nothing."""
+    """All token masks up to ``level``; level 0 changes nothing, level 4 needs ``names``."""
+    _need_names(level, names)
     if level < 1:
         return docs
     masked = docs.withColumn("tokens", mask_tokens(F.col("tokens"), level, TOKEN_RULES[rule_set]))
-    if level >= PLACE_LEVEL and names is not None:
+    if level >= PLACE_LEVEL:
         masked = mask_places(masked, names)
     return masked
 
@@ -123,15 +116,11 @@ def mask_texts(
     level: int,
     names: DataFrame | None = None,
     rule_set: str = "strict",
-    in_row_limit: int = _IN_ROW_NAMES,
 ) -> DataFrame:
-    """``mask_text`` of the ``text`` column with a gazetteer table of any size."""
+    """``mask_text`` of the ``text`` column with a gazetteer table of any size; level 4 needs one."""
+    _need_names(level, names)
     out = docs.withColumn("text", mask_text(F.col("text"), level, rules=TEXT_RULES[rule_set]))
-    if level < PLACE_LEVEL or names is None:
+    if level < PLACE_LEVEL:
         return out
     split = out.withColumn("tokens", F.split("text", " "))
-    return (
-        mask_places(split, names, in_row_limit)
-        .withColumn("text", F.array_join("tokens", " "))
-        .select(*docs.columns)
-    )
+    return mask_places(split, names).withColumn("text", F.array_join("tokens", " ")).select(*docs.columns)

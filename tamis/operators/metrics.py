@@ -16,8 +16,18 @@ _RUN = ("config", "fold")
 def confusion_counts(
     predictions: DataFrame, classes: list[str] | None = None
 ) -> DataFrame:
-    """``(config, fold, y_true, y_pred, n)`` for every pair of classes, zeros included."""
-    known = as_classes(classes) if classes else classes_of(predictions, "y_true", "y_pred")
+    """``(config, fold, y_true, y_pred, n)`` for every pair of classes, zeros included.
+
+    ``classes`` are there even without a prediction. Labels that occur besides them are classes as
+    well: no prediction is left out. Nulls are an error, named when the row is computed.
+    """
+    known = classes_of(predictions, "y_true", "y_pred")
+    if classes:
+        known = F.sort_array(F.array_union(as_classes(classes), known))
+    missing = F.raise_error(F.lit("a prediction without y_true or y_pred"))
+    predictions = predictions.withColumn(
+        "y_true", F.when(F.col("y_true").isNull() | F.col("y_pred").isNull(), missing).otherwise(F.col("y_true"))
+    )
     counted = predictions.groupBy(*_RUN, "y_true", "y_pred").agg(F.count("*").alias("_n"))
     every = (
         counted.select(*_RUN)

@@ -75,6 +75,8 @@ def author_folds(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
         .groupBy("author", "label")
         .agg(F.count("*").alias("_n"))
     )
+    # Posts without a label count like those of one more label.
+    counts = counts.withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("\0")))
     rarity = counts.groupBy("label").agg(F.sum("_n").alias("_corpus"))
     authors = (
         counts.join(rarity, "label")
@@ -100,8 +102,13 @@ def author_folds(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def with_author_folds(docs: DataFrame, folds: DataFrame) -> DataFrame:
-    """Bring the fold of each author to the posts; AQE splits an author with very many posts."""
-    return docs.join(folds, "author")
+    """Bring the fold of each author to the posts; AQE splits an author with very many posts.
+
+    A post without an author, or whose author has no fold, is dealt to a fold by its id.
+    """
+    k = folds.agg(F.coalesce(F.max("fold"), F.lit(0)) + 1).scalar()
+    alone = F.pmod(F.xxhash64("doc_id"), k).cast("int")
+    return docs.join(folds, "author", "left").withColumn("fold", F.coalesce("fold", alone))
 
 
 def train_part(docs: DataFrame, fold: int) -> DataFrame:

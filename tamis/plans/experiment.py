@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,16 +96,12 @@ def prepare_model_inputs(
     return df.select("doc_id", "label", made.alias("input")).join(assigned, "doc_id")
 
 
-# One binary model is trained per class; a label column beyond this is not a class label.
-_MOST_CLASSES = 1000
-
-
 def classes_for_training(prepared: DataFrame) -> list[str]:
-    """The labels in alphabetical order; an error rather than a cut when there are too many."""
-    found = prepared.select("label").distinct().limit(_MOST_CLASSES + 1).collect()
-    if len(found) > _MOST_CLASSES:
-        raise ValueError(f"more than {_MOST_CLASSES} labels; is the label column right?")
-    return sorted(r.label for r in found)
+    """The labels in alphabetical order, one binary model each; rows without a label are an error."""
+    found = [r.label for r in prepared.select("label").distinct().collect()]
+    if None in found:
+        raise ValueError("rows without a label cannot be trained on: drop them before")
+    return sorted(found)
 
 
 @dataclass(frozen=True)
@@ -117,14 +115,30 @@ class Results:
     best: DataFrame
     features: models.FoldFeatures
     fitted: dict
+    top_features: DataFrame
+
+    def projection(self) -> tuple[DataFrame, DataFrame]:
+        """The two-dimensional view of the last fold's validation rows, and its share of variance."""
+        last = self.features.folds - 1
+        cells = self.features.cells.where(f"model_fold = {last} AND split = 'val'")
+        return models.project_2d(cells, self.features.size)
 
 
 def train_and_score(
-    prepared: DataFrame, grid: Sequence[float], classes: Sequence[str], max_iter: int = 100
+    prepared: DataFrame,
+    grid: Sequence[float],
+    classes: Sequence[str],
+    max_iter: int = models.MAX_ITER,
+    longest: int = 1,
+    top_n: int = 15,
 ) -> Results:
-    """Linear SVM for every ``C`` and fold, with all metric tables."""
+    """Linear SVM for every ``C`` and fold, with all metric tables.
+
+    ``longest`` is the longest n-gram among the features. Top features and the two-dimensional view
+    are those of the last fold, the features for every ``C``.
+    """
     folds = prepared.agg(F.max("fold")).first()[0] + 1
-    features = models.fold_features(prepared, folds)
+    features = models.fold_features(prepared, folds, longest=longest)
     predicted, fitted = models.grid_predictions(features, classes, grid, max_iter)
     predictions = store.write_through(predicted, "predictions")
     confusion = metrics.confusion_counts(predictions, list(classes))
@@ -136,9 +150,16 @@ def train_and_score(
         metrics=scores,
         summary=metrics.summarize(scores),
         mean_confusion=metrics.mean_confusion(confusion),
-        best=metrics.best_config(scores, [f"C={c:g}" for c in grid]),
+        best=metrics.best_config(scores, [models.config_name(c) for c in grid]),
         features=features,
         fitted=fitted,
+        top_features=reduce(
+            DataFrame.unionByName,
+            [
+                models.top_features(features, fitted[name, folds - 1], top_n).select(F.lit(name).alias("config"), "*")
+                for name in map(models.config_name, grid)
+            ],
+        ),
     )
 
 
@@ -149,15 +170,27 @@ def run(
     metrics_path: str | None = None,
     lemmas: DataFrame | None = None,
     places: DataFrame | None = None,
-    max_iter: int = 100,
+    max_iter: int = models.MAX_ITER,
+    settings: Preparation | None = None,
+    file_format: str | None = None,
+    multi_line: bool = True,
+    pair_column: str | None = None,
+    longest: int = 1,
 ) -> dict:
     """Run an experiment from an options mapping (sections as in ``roles.REQUIRED_OPTIONS``).
 
     ``load_dataset`` reuses the table at ``prepared_path``; otherwise it is written there when given.
     Returns ``profile`` tables, the ``prepared`` table, and ``results`` when modelling is enabled
     (for model type BERT: ``model_inputs`` with stratified folds, to be trained elsewhere).
+
+    ``settings`` has what the options do not name (cut-off, cap, stop words, bigrams); folds and mask
+    level come from the options. ``file_format`` is ``csv`` or ``parquet``, by default as the path
+    says; ``multi_line=False`` lets a CSV without line breaks in its texts be split. ``pair_column``
+    makes text pairs for BERT, ``longest`` n-gram features for the SVM.
     """
     check_options(options)
+    if options["load_dataset"] and prepared_path is None:
+        raise ValueError("load_dataset needs prepared_path")
     roles = ColumnRoles.from_options(options)
     described, modelling = options["descriptive_statistics"], options["modeling"]
     masked, folds = options["masking"], options["preprocessing"]["number_of_folds"]
@@ -165,15 +198,15 @@ def run(
     if kind not in ("SVM", "BERT"):
         raise ValueError(f"unknown model type: {kind}; choose SVM or BERT")
 
-    columns = [c for c in (roles.doc_id, roles.author, roles.label, roles.text) if c]
+    columns = [c for c in (roles.doc_id, roles.author, roles.label, roles.text, pair_column) if c]
     path = options["data"]["file_path"]
-    if path.endswith(".csv"):
+    if (file_format or ("csv" if re.search(r"\.csv(\.\w+)?/?$", path) else "parquet")) == "csv":
         header = spark.read.options(header=True).csv(path).limit(0).columns
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        raw = store.read_posts(spark, path, schema)
+        raw = store.read_posts(spark, path, schema, multi_line)
     else:
         raw = spark.read.parquet(path)
-    docs = roles.bind(raw.select(*[c for c in raw.columns if c in columns]))
+    docs = roles.bind(raw.select(*[c for c in raw.columns if c in columns]), *([pair_column] if pair_column else []))
     if roles.doc_id is None:
         docs = store.write_through(docs, "posts")
 
@@ -191,14 +224,15 @@ def run(
             if shown.get(name, name == "top_terms" or described["get_author_info"])
         }
     if kind == "BERT":
-        out["model_inputs"] = prepare_model_inputs(docs, folds)
+        out["model_inputs"] = prepare_model_inputs(docs, folds, pair_column=pair_column)
         return out
 
     level = masked["masking_strategy"] if masked["enabled"] else 0
     if options["load_dataset"]:
         prepared = store.read_prepared(spark, prepared_path)
     else:
-        prepared = prepare(docs, Preparation(folds=folds, mask_level=level), lemmas, places)
+        chosen = replace(settings or Preparation(), folds=folds, mask_level=level)
+        prepared = prepare(docs, chosen, lemmas, places)
         if prepared_path is None:
             prepared = store.write_through(prepared, "prepared", "fold")
         else:
@@ -212,7 +246,7 @@ def run(
     if modelling["enabled"]:
         classes = classes_for_training(prepared)
         grid = modelling["hyperparameters"]["C"]
-        out["results"] = train_and_score(prepared, grid, classes, max_iter)
+        out["results"] = train_and_score(prepared, grid, classes, max_iter, longest)
         if metrics_path is not None:
             store.append_metrics(out["results"].metrics, metrics_path)
     return out

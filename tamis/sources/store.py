@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,15 +66,12 @@ def fold_sizes(folds: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an intermediate table, under ``spark.checkpoint.dir``.
+    """A new folder for an intermediate table that driver and executors share.
 
-    Only a local master may go without that setting; executors of a cluster share no local folder.
+    It lies in ``spark.checkpoint.dir``; where a session has none, in the warehouse folder, which
+    every session has and which a cluster shares as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tamis-{name}-{uuid.uuid4().hex}"
 
 

@@ -229,11 +229,52 @@ def test_mask_rule_sets(spark):
     assert by_id(masking.mask(df, 1, rule_set="intended"))[0] == ["left"]
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_places_in_row_and_by_join(spark, limit):
+def test_places(spark):
     df = docs_of(spark, [["new", "york", "Paris", "a", "paris", "a"], [], ["l'aquila", "a\\b"]])
     names = masking.gazetteer(spark.createDataFrame([("paris",), ("new york",), ("L'Aquila",), ("A\\B",)], "n string"))
-    assert by_id(masking.mask_places(df, names, limit)) == {0: ["new", "york", "a", "a"], 1: [], 2: []}
+    assert by_id(masking.mask_places(df, names)) == {0: ["new", "york", "a", "a"], 1: [], 2: []}
+    # A null name matches nothing, and the column may have any name.
+    other = spark.createDataFrame([("Paris",), (None,)], "place string")
+    assert by_id(masking.mask_places(df, other))[0] == ["new", "york", "a", "a"]
+    assert by_id(masking.mask_places(df, other.where("false")))[0] == ["new", "york", "Paris", "a", "paris", "a"]
+
+
+def test_places_need_a_gazetteer(spark):
+    df = docs_of(spark, [["a"]])
+    for masked in (lambda: masking.mask(df, 4), lambda: masking.mask_texts(df.withColumn("text", F.lit("a")), 4)):
+        with pytest.raises(ValueError, match="gazetteer"):
+            masked()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_joins_with_hot_keys(spark, how, monkeypatch):
+    """Whatever counts as hot, the rows are those of the plain join."""
+    rows = spark.range(200).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 't' || id % 50 END AS token")
+    rows = rows.unionByName(spark.createDataFrame([(999, None)], "doc_id bigint, token string"))
+    table = spark.createDataFrame([("hot", 1), ("t7", 2), ("t8", 3)], "token string, v int")
+    want = sorted(map(repr, rows.join(table, "token", how).select("doc_id", "token", *(["v"] if how != "left_semi" else [])).collect()))
+    for share in (1, 5, 20_000):
+        monkeypatch.setattr(corpus, "_HOT_SHARE", share)
+        got = corpus.with_table(rows, table, "token", how=how)
+        got = got.select("doc_id", "token", *(["v"] if how != "left_semi" else []))
+        assert sorted(map(repr, got.collect())) == want
+
+
+def test_unlisted_labels_count(spark):
+    rows = [("c", 0, "a", "a"), ("c", 0, "b", "b"), ("c", 0, "a", "a"), ("c", 0, "z", "a"), ("c", 0, "a", "y")]
+    df = spark.createDataFrame(rows, "config string, fold int, y_true string, y_pred string")
+    got = {r["metric"]: r["value"] for r in metrics.evaluate(df, ["a", "b"]).collect()}
+    assert got["accuracy"] == pytest.approx(0.6)
+    with pytest.raises(Exception, match="without y_true or y_pred"):
+        metrics.confusion_counts(spark.createDataFrame([("c", 0, None, "a")], df.schema), ["a"]).collect()
+
+
+def test_folds_keep_posts_without_label_or_author(spark):
+    rows = [(i, f"u{i % 7}" if i % 5 else None, None if i % 7 == 3 else "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, author string, label string")
+    out = splits.with_author_folds(df, splits.author_folds(df, 3)).collect()
+    assert len(out) == len(rows) and {r["fold"] for r in out} == {0, 1, 2}
+    assert len({(r["author"], r["fold"]) for r in out if r["author"]}) == 7
 
 
 def test_mask_text(spark):
@@ -248,7 +289,6 @@ def test_mask_text(spark):
         "and the in paris, ! warm paris",
         "and the in paris, ! warm",
     ]
-    assert masking.mask_texts(df, 4, names, in_row_limit=0).first().text == got[4]
 
 
 # metrics
