@@ -262,52 +262,59 @@ def expression(group: Group) -> str:
     return f"( {inner} ){group[1]}" if group[1] else inner
 
 
-def main_path(wrapper: Group, share: float = 0.8) -> list[str]:
-    """Keys from the root to the innermost container with ``share`` of all text of articles.
+def main_path(wrapper: Group) -> list[str]:
+    """Keys from the root to the innermost container that holds all text of articles outside links.
 
-    Elements made for articles are taken before others. Empty where no page has text.
+    A container is left as soon as a second group in it has such text, be it a heading. Empty where no
+    page has text.
     """
-    path, group, total = [], wrapper, wrapper[3]
-    best: list[str] = []
-    while total:
-        inside = [g for g in group[4] if g[0].split(".")[0] in _CONTAINERS]
-        deepest = max(inside, key=lambda g: g[3], default=None)
-        if deepest is None or deepest[3] < share * total:
-            break
-        path, group = [*path, deepest[0]], deepest
-        best = path
-        if deepest[0].split(".")[0] == "article":
-            break
-    return best
-
-
-def extract(html: str, path: list[str]) -> str | None:
-    """Text below ``path`` without boilerplate, blocks joined by a space; None if the page has no such place."""
+    path, group = [], wrapper
+    while True:
+        inside = [g for g in group[4] if g[3]]
+        if len(inside) != 1 or inside[0][0].split(".")[0] not in _CONTAINERS:
+            return path
+        group = inside[0]
+        path = [*path, group[0]]
+        if group[0].split(".")[0] == "article":
+            return path
+
+
+def _below(html: str, path: list[str]) -> tuple[str | None, bool]:
+    """What ``extract`` gives, and whether text outside boilerplate and links is left out of it."""
     parts: list[str] = []
-    state = [False]
+    found, missed = not path, False
 
     def enter(stack, k, dropped):
+        nonlocal found
         above = stack[-1][4]  # keys matched so far, or -1 off the path
         depth = above + 1 if 0 <= above < len(path) and path[above] == k else (above if above == len(path) else -1)
-        state[0] |= depth == len(path)
+        found |= depth == len(path)
         return depth
 
     def text(stack, raw):
-        if stack[-1][4] == len(path) and not stack[-1][3]:
+        nonlocal missed
+        if stack[-1][3]:
+            return
+        if stack[-1][4] == len(path):
             parts.append(unescape(raw))
+        elif not missed and raw.strip():
+            missed = not any(s[0] == "a" for s in stack)
 
     Page(html).walk(0, enter, text, lambda stack: parts.append(" "))
-    if not state[0] and path:
-        return None
-    return " ".join("".join(parts).split())
+    return (" ".join("".join(parts).split()) if found else None), missed
+
+
+def extract(html: str, path: list[str]) -> str | None:
+    """Text below ``path`` without boilerplate, blocks joined by a space; None if the page has no such place."""
+    return _below(html, path)[0]
 
 
 def main_text(html: str | None, path: list[str] | None) -> str:
-    """By the host's path; a page without that place goes by the wrapper of its own."""
+    """By the host's path; a page without that place, or with text beside it, goes by the wrapper of its own."""
     if not html:
         return ""
-    found = extract(html, path) if path else None
-    return found if found is not None else extract(html, main_path(page_wrapper(html))) or ""
+    found, missed = _below(html, path) if path else (None, True)
+    return extract(html, main_path(page_wrapper(html))) or "" if found is None or missed else found
 
 
 def _fold(rows: Iterator[tuple[str, str]]) -> pd.DataFrame:

@@ -117,6 +117,34 @@ def test_pages_of_a_host_share_a_wrapper(spark, pages):
     assert wrappers.main_texts(pages()).count() == 0
 
 
+LONG = "a long line of the story " * 20
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class=content><h1>Title</h1><div class=intro>intro</div><div class=entry>{LONG}</div></div>", f"Title intro {LONG}"),
+        (f"<main><div class=a>short</div><div class=b>{LONG}</div></main>", f"short {LONG}"),
+        (f"<main><h1>Title</h1><article>{LONG}</article></main>", f"Title {LONG}"),
+        (f"<div class=post><p>short</p><blockquote>{LONG}</blockquote></div>", f"short {LONG}"),
+        (f"<div class=post><section>{LONG}</section></div><div class=x><a href=/>link</a></div>", LONG),
+    ],
+)
+def test_all_text_of_an_article_is_kept(html, text):
+    assert wrappers.main_text(f"<html><body>{html}</body></html>", None) == text.strip()
+
+
+def test_a_host_led_by_long_pages_keeps_short_ones_whole(pages):
+    page = "<html><body><div class=content><div class=entry>{0}</div>{1}</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"{i} {LONG}", "")) for i in range(20)]
+    rows += [(50, "http://h.example/50", page.format("short", "<div class=more>and more</div>"))]
+    rows += [(51, "http://h.example/51", page.format("", "<div class=more>only here</div>"))]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(pages(*rows)).collect()}
+    assert got[50] == "short and more" and got[51] == "only here" and got[3] == f"3 {LONG}".strip()
+    # A path that leaves text out is not followed.
+    assert wrappers.main_text(rows[20][2], ["html", "body", "div.content", "div.entry"]) == "short and more"
+
+
 def test_extraction_query(spark):
     import re
     from html import unescape
