@@ -16,6 +16,9 @@ from tamis.llm.queries import TOKENIZER
 LEAST_CERTAIN = 0.3
 #: Documents of lower quality go.
 LEAST_QUALITY = 0.7
+#: Near duplicates have 80 % of their shingles of five words in common. Of pairs at that limit,
+#: ``2 * (1 - 0.8**3)**14``, about 1 in 11,500, share no table.
+NEAR = near.Scheme(width=5, percent=80, collections=14)
 
 
 def _free_name(docs: DataFrame, name: str) -> str:
@@ -42,7 +45,7 @@ def qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that with the smallest id; every text without words stays."""
-    return near.near_duplicates(docs, carry=True).where("first_row").select("row.*")
+    return near.near_duplicates(docs, NEAR, carry=True).where("first_row").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

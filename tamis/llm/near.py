@@ -14,6 +14,7 @@ connected, and copies are not expanded into pairs. Comparisons are made on full
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -41,6 +42,17 @@ class Scheme:
     hashes: int = 3
     seed: int = 7
 
+    @property
+    def common(self) -> int:
+        """The keys that a pair must share to be compared: a pair at the limit has fewer five times in a million at most."""
+        keys, p = 2 * self.collections, (self.percent / 100) ** self.hashes
+        least, fewer = 0, (1 - p) ** keys
+        while fewer <= 5e-6:
+            least += 1
+            fewer += math.comb(keys, least) * p**least * (1 - p) ** (keys - least)
+        # All that share a table have two.
+        return max(least, 2)
+
 
 class _WordHashes(dict):
     """Word hashes seen lately."""
@@ -226,9 +238,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     schema, labels = "a bigint, b bigint", None
 
     def likely(na, nb, ka, kb):
-        # A pair above the limit has 12 of 20 keys in common on average, and fewer than 3 once in a million.
+        # By default a pair above the limit has 12 of 20 keys in common on average.
         close = (na * 100 >= scheme.percent * nb) & (nb * 100 >= scheme.percent * na)
-        return close & (F.size(F.array_intersect(ka, kb)) >= 3)
+        return close & (F.size(F.array_intersect(ka, kb)) >= scheme.common)
 
     def try_pairs(pairs: DataFrame) -> tuple[int, int, DataFrame]:
         """Compare new pairs; how many there were, how many links there are now, and the labels."""

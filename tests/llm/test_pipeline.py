@@ -1,12 +1,13 @@
 """The pipeline against its operators one by one, with near duplicates by brute force."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline
-from test_near import brute
+from test_near import brute, sets_of
 from tokenizers import Tokenizer
 
-from tamis.llm import bpe, language, quality
+from tamis.llm import bpe, language, near, quality
 
 PATH = "/root/testdata/sf0.001"
 
@@ -43,6 +44,52 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
     assert lengths == {d: len(library.encode(texts[d], add_special_tokens=False).ids) + 1 for d in before}
 
 
+def brute_of_stage(texts):
+    """One id of each component of texts, by all pairs: five words, 80 % of the union."""
+    sets = {d: sets_of(t, 5) for d, t in texts.items()}
+    least = {d: d for d in texts}
+
+    def root(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a in texts:
+        for b in texts:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    return {d for d in texts if root(d) == d}
+
+
+def test_near_copies_of_the_stage_have_80_percent_of_five_words(spark, documents):
+    rng = random.Random(4)
+    texts, doc = {}, 0
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for added in (0, 90, 97, 120):  # 0.815, 0.803 and 0.767 of the first; some are nearer to each other
+            texts[doc] = " ".join(words + [f"x{rng.randrange(5000)}" for _ in range(added)])
+            doc += 1
+        spread = [f"y{i}" if i in (50, 150, 250, 350) else w for i, w in enumerate(words)]
+        texts[doc] = " ".join(spread)  # 0.904 by five words
+        doc += 1
+    out = corpus_pipeline.near_duplicates(spark, documents(*texts.items()), PATH)
+    assert {r["doc_id"] for r in out.collect()} == brute_of_stage(texts)
+    assert brute_of_stage(texts) < {int(d) for d, _, c in brute([*texts.items()]) if d == c}
+
+
+def test_stage_on_the_given_documents(spark):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, PATH).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert kept == brute_of_stage(texts)
+
+
+def test_common_keys_follow_the_limit():
+    assert (near.Scheme().common, corpus_pipeline.NEAR.common, near.Scheme(collections=1, hashes=1).common) == (3, 3, 2)
+
+
 def test_stages_on_odd_rows(spark, documents):
     """Nulls, empty and repeated texts, and columns named like the operators' own."""
     good = "A calm line about the sea and the land.\nAnother line that says more about it. "
