@@ -79,6 +79,7 @@ QUERIES = {
     "f8_mask_figures": _at(2),
     "f9_mask_topics": _at(3),
     "f10_places": f10_places,
+    "f10_places_by_join": f10_places,
     "f11_mask_all_levels": _at(4),
     "f11_mask_disabled": _at(0),
     "f12_mask_text": f12_mask_text,
@@ -130,6 +131,7 @@ SQL = {
     "f8_mask_figures": _masked(_no_match(2)),
     "f9_mask_topics": _masked(_no_match(3)),
     "f10_places": _masked(_NO_PLACE),
+    "f10_places_by_join": _masked(_NO_PLACE),
     "f11_mask_all_levels": _masked(f"{_no_match(3)} AND {_NO_PLACE}"),
     "f11_mask_disabled": _masked("true"),
     "f12_mask_text": f"WITH {_TOKENS}, {_NAMES}, cut AS (SELECT doc_id, trim(regexp_replace({_TEXT}, '{WS}+', ' ', 'g')) AS text FROM seeded), "
