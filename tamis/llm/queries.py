@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import bpe, hilbert, language, licences, near, packing, quality, rules, warc, wrappers
+from tamis.llm import aligning, bpe, hilbert, language, licences, mixing, near, negatives, packing, quality, rules, warc, wrappers
 from tamis.llm.common import LOWER, UPPER, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, SENTENCE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_hilbert_neighbours(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +57,21 @@ def op10_string_kernel_language(spark: SparkSession, path: str) -> DataFrame:
     return language.languages(table(spark, path, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op5_wrapper_texts, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language)}
+def op11_residue_negatives(spark: SparkSession, path: str) -> DataFrame:
+    vectors = table(spark, path, "embeddings")
+    moved = (F.col("label").cast("bigint") + 1) % 10
+    return negatives.hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label"))))
+
+
+def op12_source_mix(spark: SparkSession, path: str) -> DataFrame:
+    return mixing.mixed(table(spark, path, "documents")).drop("source")
+
+
+def op13_diagonal_alignment(spark: SparkSession, path: str) -> DataFrame:
+    return aligning.aligned(table(spark, path, "documents"), BYTE_LEVEL, SENTENCE)
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_neighbours, op2_warc_histories, op3_best_fit_packing, op4_diagonal_licences, op5_wrapper_texts, op6_crf_quality, op7_tensored_minhash, op8_trie_bpe, op9_loglik_rules, op10_string_kernel_language, op11_residue_negatives, op12_source_mix, op13_diagonal_alignment)}
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _TEMPLATES = ", ".join(
     f"({i}, '{label}', {i < len(licences.BASE)}, string_split('{text}', ' '), {2 if i < len(licences.BASE) else 3})"
@@ -142,5 +158,55 @@ WITH RECURSIVE words AS (
 )
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+    "op11_residue_negatives": """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+""",
+    "op12_source_mix": rf"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS size,
+        ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
+        3 * source_size AS most FROM sources
+), levels AS (
+    -- Sources are full from the least limit per weight on; the first level within the next limit holds.
+    SELECT most / w AS full_at, (sum(source_size) OVER () - coalesce(sum(most) OVER earlier, 0))::DOUBLE AS words,
+        sum(w) OVER () - coalesce(sum(w) OVER earlier, 0) AS weights
+    FROM weighed WINDOW earlier AS (ORDER BY most / w RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)
+), level AS (
+    SELECT words, weights FROM levels WHERE words / weights <= full_at ORDER BY full_at LIMIT 1
+), aims AS (
+    SELECT source, source_size, target, least(round(target)::BIGINT, most) AS budget
+    FROM (SELECT *, least(w * words / weights, most::DOUBLE) AS target FROM weighed, level)
+), placed AS (
+    SELECT doc_id, size, source_size, target, budget, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source
+), passed AS (
+    SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM placed
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+    (passes * size + greatest(least(budget - passes * source_size - before, size), 0))::BIGINT AS taken
+FROM passed
 """,
 }
