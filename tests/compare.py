@@ -57,6 +57,7 @@ def _kind(name):
     for kind, words in {
         "text": ("string", "varchar", "char"),
         "whole": ("bigint",),
+        "short": ("int", "integer"),
         "real": ("double",),
     }.items():
         if name in words:
