@@ -11,12 +11,15 @@ once and remembered; what is aligned are the ends of whole texts.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ BETWEEN = re.compile(r"(?<! )(?= \S)")
 REMEMBERED = 4_000_000
 #: Characters of a text that are split and aligned at a time; a part ends with the piece.
 SLAB = 1 << 20
+#: Bytes of texts that are encoded together, unless one text has more.
+AT_ONCE = 1 << 20
 #: Pairs that make up at least this part of all pairs of documents: there are no more than its inverse.
 FREQUENT = 1 << 17
 
@@ -49,15 +54,26 @@ class Pieces:
     """Both encodings of pieces of text: token ids, and where tokens end inside the piece, in bytes."""
 
     def __init__(self, byte_level: str, sentence: str):
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=sentence)
+        # Spark runs a task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        a = Tokenizer.from_file(byte_level)
+        a.encode_special_tokens = True
+        b = sentencepiece.SentencePieceProcessor(model_file=sentence)
         letters = byte_of_letter()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
-        self.b_bytes = {}
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            self.b_bytes[i] = bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
+        known = a.get_vocab()
+        spelled_a = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            spelled_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        spelled_b = []
+        for i in range(b.get_piece_size()):
+            piece = b.id_to_piece(i)
+            spelled_b.append(bytes([int(piece[1:-1], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
+        #: For each side how to encode, and the bytes of its tokens and how many. The space in front of a
+        #: text is the second library's own.
+        self.sides = [
+            (lambda text: a.encode(text, add_special_tokens=False).ids, spelled_a, np.array([len(t) for t in spelled_a])),
+            (lambda text: b.encode(text[1:], num_threads=1), spelled_b, np.array([len(t) for t in spelled_b])),
+        ]
         self.forget()
 
     def forget(self) -> None:
@@ -65,34 +81,48 @@ class Pieces:
         self.number: dict[str, int] = {}
         self.letters = 0
         self.size, self.fine = _Pool(np.int64), _Pool(np.bool_)
-        self.ids, self.ends, self.starts = ([_Pool(np.int32), _Pool(np.int32)], [_Pool(np.int64), _Pool(np.int64)], [_Pool(np.int64), _Pool(np.int64)])
+        self.ids, self.ends, self.starts = [[_Pool(kind), _Pool(kind)] for kind in (np.int32, np.int32, np.int64)]
         for pool in self.starts:
             pool.add([0])
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each beginning with a space, and give them numbers."""
-        sides = (
-            ([e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)], self.a_bytes),
-            # The space in front is the library's own.
-            (self.b.encode([p[1:] for p in pieces], num_threads=1), self.b_bytes),
-        )
-        for n, piece in enumerate(pieces):
-            raw, fine = piece.encode(), True
-            for side, (found, known) in enumerate(sides):
-                tokens = [known[i] for i in found[n]]
-                fine = fine and b"".join(tokens) == raw
-                self.ids[side].add(found[n])
-                self.ends[side].add(np.cumsum([len(t) for t in tokens], dtype=np.int64))
-                self.starts[side].add([self.ids[side].size])
-            self.number[piece] = len(self.number)
-            self.letters += len(piece)
-            self.size.add([len(raw)])
-            self.fine.add([fine])
+        """Encode pieces that may stand one after another, as one text, and give them numbers.
+
+        Where a tokenizer changes the text, the pieces are halved until the one at fault stands alone.
+        """
+        text = "".join(pieces)
+        raw = text.encode()
+        found = [np.array(encode(text), np.int64) for encode, _, _ in self.sides]
+        fine = all(b"".join(map(spelled.__getitem__, ids.tolist())) == raw for ids, (_, spelled, _) in zip(found, self.sides))
+        if not fine and len(pieces) > 1:
+            self.learn(pieces[: len(pieces) // 2])
+            self.learn(pieces[len(pieces) // 2 :])
+            return
+        sizes = np.array([len(p.encode()) for p in pieces], np.int64)
+        after = np.cumsum(sizes)
+        for side, (ids, (_, _, lengths)) in enumerate(zip(found, self.sides)):
+            ends = np.cumsum(lengths[ids])
+            counts = np.searchsorted(ends, after, "right") if fine else np.array([len(ids)])
+            tokens = np.diff(counts, prepend=0)
+            self.starts[side].add(self.ids[side].size + counts)
+            self.ids[side].add(ids)
+            self.ends[side].add(ends - np.repeat(after - sizes, tokens))
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.letters += len(text)
+        self.size.add(sizes)
+        self.fine.add([fine] * len(pieces))
+
+    def learn_all(self, pieces: list[str]) -> None:
+        """Learn those that are not known yet."""
+        new = list(dict.fromkeys(p for p in pieces if p not in self.number))
+        # At the ends of texts pieces may begin or end with several spaces; those are encoded alone.
+        for p in [p for p in new if p[1:2] == " " or p[-1] == " "]:
+            self.learn([p])
+        plain = [p for p in new if p not in self.number]
+        for i in range(0, len(plain), 20_000):
+            self.learn(plain[i : i + 20_000])
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.number))
-        if new:
-            self.learn(new)
         return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
 
     def tokens(self, numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -187,7 +217,7 @@ class Alignment:
     def __init__(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray):
         self.a, self.b = a, b
         stretches, links = runs(ends_a.tolist(), ends_b.tolist())
-        from_a, to_a, from_b, groups = np.array(stretches, np.int64).reshape(-1, 4).T
+        from_a, to_a, from_b, groups = np.fromiter(chain.from_iterable(stretches), np.int64, 4 * len(stretches)).reshape(-1, 4).T
         to_b = np.append(from_b[1:], len(b))
         single = groups == to_a - from_a
         single &= groups == to_b - from_b
@@ -195,7 +225,7 @@ class Alignment:
         inside = _ranges(np.ones(len(groups), np.int64), groups)
         self.groups_a = np.where(np.repeat(single, groups), np.repeat(from_a, groups) + inside, np.repeat(to_a, groups))
         self.groups_b = np.where(np.repeat(single, groups), np.repeat(from_b, groups) + inside, np.repeat(to_b, groups))
-        local = np.array(links, np.int64).reshape(-1, 2)
+        local = np.fromiter(chain.from_iterable(links), np.int64, 2 * len(links)).reshape(-1, 2)
         counts = groups * single
         self.links_a = np.concatenate([_ranges(from_a, counts), local[:, 0]])
         self.links_b = np.concatenate([_ranges(from_b, counts), local[:, 1]])
@@ -237,21 +267,29 @@ class Aligner:
     def __init__(self, byte_level: str, sentence: str):
         self.pieces = Pieces(byte_level, sentence)
 
-    def parts(self, text: str | None) -> Iterator[Alignment]:
-        """Parts end between words, so that they have whole groups."""
-        if not text:
-            return
-        kept = []
-        for pieces in cut(text):
-            numbers = self.pieces.numbers(pieces)
-            (a, ends_a), (b, ends_b) = self.pieces.tokens(numbers)
-            fine = self.pieces.fine.all[numbers].all()
-            if self.pieces.letters > REMEMBERED:
-                self.pieces.forget()
-            if not fine:
-                return
-            kept.append((a, ends_a, b, ends_b))
-        yield from (Alignment(*part) for part in kept)
+    def parts(self, texts: list[str | None]) -> Iterator[list[Alignment]]:
+        """For each text its parts, which end between words, so that they have whole groups."""
+        pieces = [list(cut(text)) if text else [] for text in texts]
+        if self.pieces.letters > REMEMBERED:
+            self.pieces.forget()
+        self.pieces.learn_all([p for parts in pieces for part in parts for p in part])
+        for parts in pieces:
+            numbers = [self.pieces.numbers(part) for part in parts]
+            if all(self.pieces.fine.all[n].all() for n in numbers):
+                yield [Alignment(a, ends_a, b, ends_b) for (a, ends_a), (b, ends_b) in map(self.pieces.tokens, numbers)]
+            else:
+                yield []
+
+
+def _some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with a few million characters of text at a time, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + AT_ONCE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def alignments(docs: DataFrame, byte_level: str, sentence: str) -> DataFrame:
@@ -265,9 +303,8 @@ def alignments(docs: DataFrame, byte_level: str, sentence: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(byte_level, sentence)
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                some = batch.slice(i, 64)
-                rows = [_joined(list(aligner.parts(text))) for text in some["text"].to_pylist()]
+            for some in _some(batch):
+                rows = [_joined(parts) for parts in aligner.parts(some["text"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([some["doc_id"], *(pa.array(c, pa.list_(pa.int32())) for c in zip(*rows))], ["doc_id", "a", "b", "groups_a", "groups_b"])
 
     ids = ", ".join(f"{name} array<int>" for name in ("a", "b", "groups_a", "groups_b"))
@@ -289,7 +326,7 @@ def _joined(parts: list[Alignment]) -> list[np.ndarray]:
 _DIGEST = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
 
 
-def _digest(parts: Iterator[Alignment]) -> tuple:
+def _digest(parts: list[Alignment]) -> tuple:
     n_a = n_b = n_groups = n_links = 0
     digest, pairs, before = sha256(), [], b""
     for part in parts:
@@ -321,9 +358,8 @@ def aligned(docs: DataFrame, byte_level: str, sentence: str) -> DataFrame:
         aligner = Aligner(byte_level, sentence)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                some = batch.slice(i, 64)
-                rows = [_digest(aligner.parts(text)) for text in some["text"].to_pylist()]
+            for some in _some(batch):
+                rows = [_digest(parts) for parts in aligner.parts(some["text"].to_pylist())]
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([some["row"], some["doc_id"], *columns], [f.split()[0] for f in _DIGEST.split(", ")])
 

@@ -92,11 +92,17 @@ def of_parts(parts):
     return text, sorted(links)
 
 
+def test_texts_encoded_together(libraries):
+    for text, parts in zip(ODD, aligning.Aligner(BYTE_LEVEL, SENTENCE).parts(ODD)):
+        _, _, groups, links = plain(libraries, text)
+        assert of_parts(parts) == (spelled(groups), sorted(links)), text
+
+
 def test_odd_texts(libraries):
     aligner = aligning.Aligner(BYTE_LEVEL, SENTENCE)
     for text in ODD:
         a, _, groups, links = plain(libraries, text)
-        assert of_parts(aligner.parts(text)) == (spelled(groups), sorted(links)), text
+        assert of_parts(next(aligner.parts([text]))) == (spelled(groups), sorted(links)), text
 
 
 @settings(max_examples=200, deadline=None)
@@ -104,7 +110,7 @@ def test_odd_texts(libraries):
 def test_any_text(libraries, text):
     aligner = _shared()
     a, _, groups, links = plain(libraries, text)
-    assert of_parts(aligner.parts(text)) == (spelled(groups), sorted(links))
+    assert of_parts(next(aligner.parts([text]))) == (spelled(groups), sorted(links))
 
 
 _ALIGNER = []
@@ -155,14 +161,14 @@ def test_empty_tables(spark, documents):
 
 def test_parts_and_forgetting_change_nothing(libraries, monkeypatch):
     text = " ".join(random.Random(1).choices(["alpha", "Überraschung", "日本", " ", "\n", "gamma-delta"], k=300))
-    whole = of_parts(aligning.Aligner(BYTE_LEVEL, SENTENCE).parts(text))
+    whole = of_parts(next(aligning.Aligner(BYTE_LEVEL, SENTENCE).parts([text])))
     monkeypatch.setattr(aligning, "SLAB", 50)
     monkeypatch.setattr(aligning, "REMEMBERED", 40)
     aligner = aligning.Aligner(BYTE_LEVEL, SENTENCE)
-    assert len(list(aligner.parts(text))) > 5 and of_parts(aligner.parts(text)) == whole
+    assert len(next(aligner.parts([text]))) > 5 and of_parts(next(aligner.parts([text]))) == whole
     _, _, groups, links = plain(libraries, text)
     assert whole == (spelled(groups), sorted(links))
-    assert list(aligner.parts(text + " a▁b")) == []
+    assert list(aligner.parts([text + " a▁b", "a▁b", None])) == [[]] * 3
 
 
 def test_alignments_of_a_table(spark, libraries, documents):
