@@ -33,7 +33,7 @@ class Mix:
     most: int = 3
     share: float = 1.0
     seed: int = 42
-    range_rows: int = 100_000
+    range_rows: int = 4096
 
 
 def words(text: Column) -> Column:
