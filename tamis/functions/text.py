@@ -1,4 +1,7 @@
-"""Text cleaning and tokens, as column expressions that stay in the JVM."""
+"""Text cleaning and tokens, as column expressions.
+
+They stay in the JVM, but for texts with letters that no table of single letters folds.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ import unicodedata
 from collections.abc import Sequence
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,55 +61,81 @@ def expand_contractions(
     return F.when(apostrophe, opened).otherwise(text)
 
 
-def _part_punctuation(collapsed: Column, source: Column) -> Column:
+def _part_punctuation(collapsed: Column, source: Column, abbreviations: Sequence[str] = ()) -> Column:
     """Blanks around every token of a text whose only white space is single blanks.
 
     ``source`` is the column the text was made from: it tells, without computing the text a second
-    time, whether there can be an apostrophe.
+    time, whether there can be an apostrophe. Final stops of ``abbreviations`` stay.
     """
     padded = F.concat(F.lit(" "), collapsed, F.lit(" "))
     padded = F.regexp_replace(padded, _PUNCTUATION, " $1 ")
     clitics = F.regexp_replace(padded, _CLITIC, " $1 ")
     padded = F.when(F.contains(source, F.lit("'")), clitics).otherwise(padded)
-    return F.regexp_replace(padded, _FINAL_STOP, " . ")
+    if not abbreviations:
+        return F.regexp_replace(padded, _FINAL_STOP, " . ")
+    stretches = F.regexp_extract_all(padded, F.lit("[^ ]+"), F.lit(0))
+    stem = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
+    final = lambda t: t.endswith(".") & ~t.endswith("..") & (F.length(t) > 1)
+    whole = lambda t: F.lower(stem(t)).isin(*abbreviations)
+    parted = F.transform(stretches, lambda t: F.when(final(t) & ~whole(t), F.concat(stem(t), F.lit(" ."))).otherwise(t))
+    return F.concat(F.lit(" "), F.array_join(parted, " "), F.lit(" "))
 
 
-def word_tokens(text: Column) -> Column:
+def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     """Treebank-like tokens: punctuation, quotes, clitics and a word-final full stop stand alone.
 
-    Words with an inner hyphen, slash, dot or digit stay whole. A full stop after an abbreviation is
-    parted too, where a sentence-aware tokeniser would keep it.
+    Words with an inner hyphen, slash, dot or digit stay whole. The full stop of a word in
+    ``abbreviations`` (lower case, without the stop) stays with it; ``corpus.abbreviations`` finds them.
     """
-    parted = _part_punctuation(F.regexp_replace(text, _BLANK, " "), text)
+    parted = _part_punctuation(F.regexp_replace(text, _BLANK, " "), text, abbreviations)
     return F.regexp_extract_all(parted, F.lit("[^ ]+"), F.lit(0))
 
 
-@cache
-def _combining_class() -> str:
-    """Regular-expression class of all characters with a combining class, as code point ranges.
+#: Latin, Greek and Cyrillic letters, marks, and general punctuation are folded by a translation table.
+_TABLE = [range(0x80, 0x600), range(0x1E00, 0x1F00), range(0x2000, 0x2070)]
+
 
-    All of them are marks; asking for that first spares letters the walk through the ranges.
+def _folded(text: str, compatibility: bool) -> str:
+    """Decomposed, and without combining characters (compatibility form) or marks of no width."""
+    if compatibility:
+        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+@cache
+def _folding(compatibility: bool) -> tuple[str, str, str]:
+    """What ``translate`` replaces and by what, characters to delete last, and a regular expression class of
+    the characters that it cannot fold."""
+    single, gone, others = [], [], []
+    for code in (c for part in _TABLE for c in part):
+        folded = _folded(chr(code), compatibility)
+        if folded != chr(code) and len(folded) > 1:
+            others.append((code, code))
+        elif folded != chr(code):
+            (single if folded else gone).append((chr(code), folded))
+    others += [(a.stop, b.start - 1) for a, b in zip(_TABLE, _TABLE[1:])] + [(_TABLE[-1].stop, 0x10FFFF)]
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in others)
+    return "".join(c for c, _ in single + gone), "".join(f for _, f in single), f"[{ranges}]"
+
+
+def _fold(text: Column, compatibility: bool) -> Column:
+    """``_folded`` of a lower-cased text: a table for Latin, Greek and Cyrillic letters, inside the JVM, and a
+    function over batches for texts with any other character that changes. Both give the same for
+    the same text, so filters move below and plans may compute either again.
     """
-    ranges: list[list[int]] = []
-    for code in range(0x20000):
-        if unicodedata.combining(chr(code)):
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return r"[\p{M}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]]+"
 
+    @F.arrow_udf("string")
+    def fold(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else _folded(t, compatibility) for t in texts.to_pylist()], pa.string())
 
-def _decompose(text: Column, compatibility: bool) -> Column:
-    # Spark has no normalisation function of its own; its Unicode library is on every class path.
-    return F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(compatibility)
-    )
+    matched, replaced, others = _folding(compatibility)
+    elsewhere = fold(F.when(text.rlike(others), text))
+    return F.coalesce(elsewhere, F.translate(text, matched, replaced))
 
 
 def fold_case_and_accents(text: Column) -> Column:
     """Lower case, compatibility decomposition, combining characters dropped."""
-    return F.regexp_replace(_decompose(F.lower(text), True), _combining_class(), "")
+    return _fold(F.lower(text), True)
 
 
 def normalize_tokens(tokens: Column) -> Column:
@@ -116,8 +146,7 @@ def normalize_tokens(tokens: Column) -> Column:
 
 def model_text(text: Column) -> Column:
     """Input for uncased models: null becomes empty, lower case, accents (Mn) dropped."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_replace(_decompose(lowered, False), r"\p{Mn}+", "")
+    return _fold(F.lower(F.coalesce(text, F.lit(""))), False)
 
 
 def text_pair(text_a: Column, text_b: Column) -> Column:
@@ -138,6 +167,7 @@ def clean_tokens(
     text: Column,
     contractions: Sequence[tuple[str, str]] = CONTRACTIONS,
     stop_words: Sequence[str] | None = STOP_WORDS,
+    abbreviations: Sequence[str] = (),
 ) -> Column:
     """The cleaning chain up to the stop words, in one projection.
 
@@ -145,7 +175,8 @@ def clean_tokens(
     collapse_blanks(text))))))``, but the text is held one token per line until the end, so that
     normalising, splitting and keeping alphabetic tokens are one pass each over one string.
     """
-    parted = _part_punctuation(expand_contractions(collapse_blanks(text), contractions, text), text)
+    opened = expand_contractions(collapse_blanks(text), contractions, text)
+    parted = _part_punctuation(opened, text, abbreviations)
     lines = fold_case_and_accents(F.replace(parted, F.lit(" "), F.lit("\n")))
     tokens = F.regexp_extract_all(lines, F.lit(_LETTER_LINE), F.lit(0))
     return drop_words(tokens, stop_words) if stop_words else tokens

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import adjacent_pairs
 from tamis.functions.wordlists import NOUN_ENDINGS
+from tamis.sources.store import write_through
 
 # Tokens that make up at least 1/_HOT_SHARE of all occurrences: there can be no more than
 # _HOT_SHARE of them, so a table of them may always be broadcast.
@@ -113,15 +114,12 @@ def frequency_cutoff(
     return remove_places(docs, rare)
 
 
-def _ordered_bucket(order: str, low: Column, high: Column, buckets: int) -> Column:
-    span = F.greatest(high - low, F.lit(1)).cast("double")
-    return F.coalesce(F.floor((F.col(order) - low).cast("double") * (buckets - 1) / span), F.lit(0))
+def boundary_pairs(docs: DataFrame, order: str = "doc_id", ranges: int | None = None) -> DataFrame:
+    """``(w1, w2)``: last token of each non-empty document and first token of the next one by ``order``.
 
-
-def boundary_pairs(docs: DataFrame, order: str = "doc_id", buckets: int = 4096) -> DataFrame:
-    """``(w1, w2)``: last token of each non-empty document and first token of the next one.
-
-    The corpus is cut into ranges of ``order``; only one row per range is sorted across ranges.
+    ``order`` may be any column that sorts: the corpus is cut at quantiles of its values, as Spark samples
+    them, into ``ranges`` (by default as many as shuffles have). Each range is sorted by itself; its first
+    token is handed to the range before it, so that one row per range crosses ranges.
     """
     both = F.struct(
         F.get("tokens", F.lit(0)).alias("_first"), F.try_element_at("tokens", F.lit(-1)).alias("_last")
@@ -132,8 +130,9 @@ def boundary_pairs(docs: DataFrame, order: str = "doc_id", buckets: int = 4096)
         .select("_at", "_ends.*")
         .where(F.col("_first").isNotNull())
     )
-    span = docs.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
-    ranged = ends.withColumn("_range", _ordered_bucket("_at", span["lo"], span["hi"], buckets))
+    cut = ends.repartitionByRange(*([ranges] if ranges else []), "_at")
+    # Written, because the cuts are those of this one shuffle.
+    ranged = write_through(cut.withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_range").orderBy("_at")
     heads = (
         ranged.groupBy("_range")
@@ -146,8 +145,11 @@ def boundary_pairs(docs: DataFrame, order: str = "doc_id", buckets: int = 4096)
     ).where(F.col("w2").isNotNull())
 
 
-def pair_counts(docs: DataFrame, cross_document: bool = False) -> DataFrame:
-    """``(w1, w2, n)`` for neighbouring tokens, within documents unless asked otherwise."""
+def pair_counts(docs: DataFrame, cross_document: bool = False, order: str = "doc_id") -> DataFrame:
+    """``(w1, w2, n)`` for neighbouring tokens, within documents unless asked otherwise.
+
+    Across documents the corpus is read in the order of the column ``order``.
+    """
     pairs = (
         docs.select(adjacent_pairs(F.col("tokens")).alias("_pairs"))
         .select(F.explode_outer("_pairs").alias("_pair"))
@@ -155,7 +157,7 @@ def pair_counts(docs: DataFrame, cross_document: bool = False) -> DataFrame:
         .select("_pair.w1", "_pair.w2")
     )
     if cross_document:
-        pairs = pairs.unionByName(boundary_pairs(docs))
+        pairs = pairs.unionByName(boundary_pairs(docs, order))
     return pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"))
 
 
@@ -164,12 +166,13 @@ def pair_scores(docs: DataFrame, min_freq: int = 5, cross_document: bool = False
 
     The cut comes before the joins, so they see only the surviving pairs.
     """
-    freq = token_frequencies(docs)
+    freq = write_through(token_frequencies(docs), "frequencies")
     total = freq.agg(F.sum("n")).scalar()
-    pairs = pair_counts(docs, cross_document).where(F.col("n") >= min_freq)
-    scored = pairs.join(freq.select(F.col("token").alias("w1"), F.col("n").alias("_n1")), "w1").join(
-        freq.select(F.col("token").alias("w2"), F.col("n").alias("_n2")), "w2"
-    )
+    pairs = write_through(pair_counts(docs, cross_document).where(F.col("n") >= min_freq), "pairs")
+    # Words of very many pairs are looked up, so that none meets in one task.
+    first = freq.select(F.col("token").alias("w1"), F.col("n").alias("_n1"))
+    second = freq.select(F.col("token").alias("w2"), F.col("n").alias("_n2"))
+    scored = with_table(with_table(pairs, first, "w1"), second, "w2")
     # Doubles: the product of two counts of a large corpus exceeds 64 bits.
     ratio = F.col("n").cast("double") * total / (F.col("_n1").cast("double") * F.col("_n2"))
     return scored.select("w1", "w2", "n", F.log2(ratio).alias("pmi"))
@@ -183,6 +186,14 @@ def top_pairs(
     return scores.orderBy(F.desc("pmi"), "w1", "w2").limit(n)
 
 
+def _endings_off(word: Column, endings: Sequence[tuple[str, str]]) -> Column:
+    """What a word turns into by each ending that it has."""
+    return F.array_compact(F.array(*[
+        F.when(word.endswith(ending), F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(new)))
+        for ending, new in endings
+    ]))
+
+
 def lemma_table(
     vocabulary: DataFrame,
     nouns: DataFrame,
@@ -192,19 +203,26 @@ def lemma_table(
     """``(form, lemma)`` for the words of ``vocabulary(token)`` that have a noun lemma.
 
     Noun morphology over a lexicon ``nouns(noun)``: the word itself and what its endings turn into
-    are looked up, the shortest hit wins, ties by name. Forms listed in ``exceptions(form, lemma)``
-    use those candidates instead. Endings are applied once. Words without a hit are absent and stay
-    as they are.
+    are looked up, the shortest hit wins, ties by name. While there is none, endings are taken off
+    what they turned into, level by level; the first level with a hit counts. All levels are made
+    inside the row and looked up by one join. Forms listed in ``exceptions(form, lemma)`` use those
+    candidates and no endings. Words without a hit are absent and stay as they are.
     """
     token = F.col("token")
-    stems = [
-        F.when(
-            token.endswith(ending),
-            F.concat(F.substring(token, F.lit(1), F.length(token) - len(ending)), F.lit(new)),
-        )
-        for ending, new in endings
-    ]
-    by_rule = F.array_compact(F.array(token, *stems))
+    made = "struct<current: array<string>, found: array<struct<level: int, noun: string>>>"
+    at = lambda level, names: F.transform(names, lambda n: F.struct(level.alias("level"), n.alias("noun")))
+
+    def deeper(state: Column, level: Column) -> Column:
+        ended = F.array_distinct(F.flatten(F.transform(state["current"], lambda w: _endings_off(w, endings))))
+        following = F.struct(ended.alias("current"), F.concat(state["found"], at(level, ended)).alias("found")).cast(made)
+        return F.when(F.size(state["current"]) > 0, following).otherwise(state)
+
+    # A word can lose an ending no more often than it has letters. The word and level 1 count alike.
+    start = F.struct(F.array(token).alias("current"), at(F.lit(1), F.array(token)).alias("found")).cast(made)
+    by_rule = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), start, deeper)["found"]
+    # Most words have no ending at all.
+    ends = F.size(_endings_off(token, endings)) > 0
+    by_rule = F.when(ends, by_rule).otherwise(at(F.lit(1), F.array(token)))
     words = vocabulary.select("token").distinct()
     if exceptions is not None:
         listed = exceptions.groupBy(F.col("form").alias("token")).agg(
@@ -212,14 +230,47 @@ def lemma_table(
         )
         words = words.join(listed, "token", "left")
         candidates = F.when(
-            F.col("_listed").isNotNull(), F.concat(F.array(token), F.col("_listed"))
+            F.col("_listed").isNotNull(), at(F.lit(1), F.concat(F.array(token), F.col("_listed")))
         ).otherwise(by_rule)
     else:
         candidates = by_rule
-    found = words.select(token.alias("form"), F.explode(candidates).alias("noun")).join(
-        nouns.select("noun").distinct(), "noun", "left_semi"
+    tried = words.select(token.alias("form"), F.explode(candidates).alias("_c")).select("form", "_c.level", "_c.noun")
+    found = tried.join(nouns.select("noun").distinct(), "noun", "left_semi")
+    return found.groupBy("form").agg(F.min(F.struct("level", F.length("noun"), "noun"))["noun"].alias("lemma"))
+
+
+def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
+    """``k * ln(p) + (n - k) * ln(1 - p)``, with nothing for what does not occur."""
+    part = lambda count, share: F.when(count > 0, count * F.log(F.greatest(share, F.lit(1e-300)))).otherwise(0.0)
+    return part(k, p) + part(n - k, 1 - p)
+
+
+def abbreviations(docs: DataFrame, least: float = 0.3, min_count: int = 2) -> DataFrame:
+    """``(word, score)``: words of ``docs(text)`` whose full stop belongs to them, found by counts alone.
+
+    Words are stretches between blanks, lower-cased, with a letter and without marks around them. The score
+    is the log-likelihood ratio of the stop following the word more often than the stop follows words
+    in general, times the number of inner stops and one, less for longer words and by occurrences
+    without the stop: ``ratio * stops * exp(-letters) * letters ** -without``. Counts are combined
+    before the shuffle. Pass the words to ``text.word_tokens``.
+    """
+    stretch = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\s\x1C-\x1F]+"), F.lit(0))).alias("_s")
+    plain = F.regexp_replace("_s", r"""^[("'\[{“„«‘]+|[)"'\]},;:!?”»’]+$""", "")
+    found = docs.select(stretch).select(plain.alias("_w")).where(F.col("_w").rlike(r"\p{L}") & ~F.col("_w").endswith(".."))
+    ends = F.col("_w").endswith(".")
+    word = F.when(ends, F.substring("_w", F.lit(1), F.length("_w") - 1)).otherwise(F.col("_w"))
+    counts = write_through(
+        found.groupBy(word.alias("word")).agg(F.count_if(ends).alias("with_stop"), F.count("*").alias("n")), "stops"
     )
-    return found.groupBy("form").agg(F.min(F.struct(F.length("noun"), "noun"))["noun"].alias("lemma"))
+    n = F.col("n").cast("double")
+    k = F.col("with_stop").cast("double")
+    share = counts.agg(F.sum("with_stop") / F.sum("n")).scalar()
+    ratio = 2 * (_log_likelihood(k, n, k / n) - _log_likelihood(k, n, share))
+    inner = F.length(F.regexp_replace("word", "[^.]", ""))
+    letters = F.greatest(F.length("word") - inner, F.lit(1)).cast("double")
+    # A word that the stop follows less often than others is none.
+    score = F.when(k / n > share, ratio * (inner + 1) * F.exp(-letters) * F.pow(letters, -(n - k))).otherwise(0.0)
+    return counts.where(F.col("with_stop") >= min_count).select("word", score.alias("score")).where(F.col("score") >= least)
 
 
 def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:

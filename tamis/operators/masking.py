@@ -95,8 +95,9 @@ def mask_text(
     """Delete rule matches inside running text, then place names, then surplus blanks.
 
     Case matters, so lower-case first. ``extra`` patterns (links, handles) go before the levels.
-    ``names`` are compared with whole stretches between blanks, whatever their case.
+    ``names`` are compared with whole stretches between blanks, whatever their case; level 4 needs them.
     """
+    _need_names(level, names or None)
     out = text
     for pattern in extra:
         out = F.regexp_replace(out, f"(?U){pattern}", "")
@@ -104,7 +105,7 @@ def mask_text(
         if at <= level:
             out = F.regexp_replace(out, rf"(?U)\b(?:{'|'.join(rules[at])})\b", "")
     out = collapse_blanks(out)
-    if level >= PLACE_LEVEL and names:
+    if level >= PLACE_LEVEL:
         lowered = [n.lower() for n in names]
         words = F.filter(F.split(out, " "), lambda w: ~F.lower(w).isin(*lowered))
         out = F.array_join(words, " ")
@@ -119,7 +120,8 @@ def mask_texts(
 ) -> DataFrame:
     """``mask_text`` of the ``text`` column with a gazetteer table of any size; level 4 needs one."""
     _need_names(level, names)
-    out = docs.withColumn("text", mask_text(F.col("text"), level, rules=TEXT_RULES[rule_set]))
+    rules = min(level, PLACE_LEVEL - 1)
+    out = docs.withColumn("text", mask_text(F.col("text"), rules, rules=TEXT_RULES[rule_set]))
     if level < PLACE_LEVEL:
         return out
     split = out.withColumn("tokens", F.split("text", " "))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import drop_words, ngrams, profile_tokens
 from tamis.functions.wordlists import STOP_WORDS
+from tamis.operators.corpus import with_table
 from tamis.operators.ranking import row_number
+from tamis.sources.store import write_through
 
 
 def term_counts(docs: DataFrame, terms: str, *keep: str) -> DataFrame:
@@ -84,11 +86,26 @@ def corpus_tfidf(terms: DataFrame) -> DataFrame:
 
 
 def mean_tfidf_per_label(terms: DataFrame) -> DataFrame:
-    """``(label, term, weight)``: mean over all documents of the label, absent terms count as 0."""
-    posts = terms.groupBy("label").agg(F.count("*").alias("_posts"))
-    sums = corpus_tfidf(terms).groupBy("label", "term").agg(F.sum("weight").alias("_sum"))
-    return sums.join(posts, "label").select(
-        "label", "term", (F.col("_sum") / F.col("_posts")).alias("weight")
+    """``(label, term, weight)``: mean over all documents of the label, absent terms count as 0.
+
+    A term's idf is one factor, so documents only need their lengths: those are sums of partial sums,
+    with frequent terms' idfs looked up in a bounded broadcast and only the other terms shuffled.
+    Documents, one row each, get their length, and what is shuffled then are sums per label and term.
+    """
+    held = write_through(terms.select("doc_id", "label", "terms"), "terms")
+    posts = held.groupBy("label").agg(F.count("*").alias("_posts"))
+    n = held.agg(F.count("*")).scalar()
+    counts = term_counts(held, "terms", "doc_id")
+    # Terms of a single document are the bulk of any n-gram vocabulary and share one idf.
+    shared = write_through(document_frequencies(counts).where(F.col("df") > 1), "shared-terms")
+    idf = smooth_idf(F.coalesce("df", F.lit(1)), n)
+    square = F.pow(F.col("tf") * idf, F.lit(2))
+    squares = with_table(counts, shared, "term", how="left").groupBy("doc_id").agg(F.sqrt(F.sum(square)).alias("_norm"))
+    normed = held.join(squares, "doc_id")
+    parts = term_counts(normed, "terms", "label", "_norm").groupBy("label", "term")
+    sums = parts.agg(F.sum(F.col("tf") / F.col("_norm")).alias("_sum"))
+    return sums.join(shared, "term", "left").join(posts, sums["label"].eqNullSafe(posts["label"])).select(
+        sums["label"], "term", (F.col("_sum") * idf / F.col("_posts")).alias("weight")
     )
 
 
@@ -156,7 +173,7 @@ def fold_weights(
         vocabulary = fold_vocabulary(counts, docs, k, min_df, max_df)
     extra = [c for c in vocabulary.columns if c not in ("term", "fits")]
     raw = [sublinear(F.col("tf")) * F.get("fits", F.lit(f))["idf"] for f in range(k)]
-    return counts.join(vocabulary, "term").select(
+    return with_table(counts, vocabulary, "term").select(
         "doc_id", "fold", "term", *extra, F.array(*raw).alias("raw")
     )
 
@@ -189,7 +206,10 @@ def fold_tfidf(
 
 
 def indexed_vocabulary(vocabulary: DataFrame) -> DataFrame:
-    """Number the terms 0, 1, 2 ... for vectors: by hash bucket, then by term, without a global sort."""
+    """Number the terms 0, 1, 2 ... for vectors: by hash bucket, then by term, without a global sort.
+
+    Vectors index by 32 bits: the cast fails, as the session's ANSI mode has it, beyond 2**31 terms.
+    """
     bucketed = vocabulary.withColumn("_bucket", F.pmod(F.xxhash64("term"), F.lit(4096)))
     numbered = row_number(
         bucketed, "idx", [], ["_bucket"], [F.col("_bucket")], [F.col("term")]

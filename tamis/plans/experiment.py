@@ -15,7 +15,7 @@ from tamis.functions.text import clean_tokens, model_text, text_pair
 from tamis.functions.wordlists import CONTRACTIONS, STOP_WORDS
 from tamis.operators import corpus, masking, metrics, models, profile, splits, tfidf
 from tamis.operators.distribution import box_summary, describe, histogram, percentiles
-from tamis.sources import store
+from tamis.sources import csv_blocks, store
 from tamis.sources.roles import ColumnRoles, check_options
 
 
@@ -31,6 +31,8 @@ class Preparation:
     stop_words: Sequence[str] | None = tuple(STOP_WORDS)
     mask_level: int = 0
     mask_rules: str = "strict"
+    bigrams: bool = False
+    abbreviations: Sequence[str] = ()
 
 
 def profile_tables(docs: DataFrame, top_n: int | None = 50) -> dict[str, DataFrame]:
@@ -56,7 +58,7 @@ def clean(docs: DataFrame, settings: Preparation = Preparation()) -> DataFrame:
     """Cap and tokenise: ``(doc_id, author, label, tokens)``; one narrow projection over the text."""
     if settings.posts_per_author is not None:
         docs = splits.cap_per_author(docs, settings.posts_per_author)
-    tokens = clean_tokens(F.col("text"), settings.contractions, settings.stop_words)
+    tokens = clean_tokens(F.col("text"), settings.contractions, settings.stop_words, settings.abbreviations)
     return docs.select("doc_id", "author", "label", tokens.alias("tokens"))
 
 
@@ -76,7 +78,7 @@ def prepare(
         tokens = store.write_through(corpus.lemmatize(tokens, lemmas), "lemmatized")
     cut = corpus.frequency_cutoff(tokens, settings.min_freq)
     masked = masking.mask(cut, settings.mask_level, places, settings.mask_rules)
-    folds = splits.author_folds(tokens, settings.folds, settings.seed)
+    folds = splits.balanced_author_folds(tokens, settings.folds, settings.seed)
     return splits.with_author_folds(masked, folds).select(
         "doc_id", "author", "label", "tokens", "fold"
     )
@@ -119,9 +121,7 @@ class Results:
 
     def projection(self) -> tuple[DataFrame, DataFrame]:
         """The two-dimensional view of the last fold's validation rows, and its share of variance."""
-        last = self.features.folds - 1
-        cells = self.features.cells.where(f"model_fold = {last} AND split = 'val'")
-        return models.project_2d(cells, self.features.size)
+        return models.project_fold(self.features, self.features.folds - 1, own=True)
 
 
 def train_and_score(
@@ -183,9 +183,10 @@ def run(
     Returns ``profile`` tables, the ``prepared`` table, and ``results`` when modelling is enabled
     (for model type BERT: ``model_inputs`` with stratified folds, to be trained elsewhere).
 
-    ``settings`` has what the options do not name (cut-off, cap, stop words, bigrams); folds and mask
+    ``settings`` has what the options do not name (cut-off, cap, stop words; ``bigrams`` adds the best pairs
+    of words of the prepared corpus by PMI); folds and mask
     level come from the options. ``file_format`` is ``csv`` or ``parquet``, by default as the path
-    says; ``multi_line=False`` lets a CSV without line breaks in its texts be split. ``pair_column``
+    says; ``multi_line=False`` spares a CSV without line breaks in its texts the pass that looks for them. ``pair_column``
     makes text pairs for BERT, ``longest`` n-gram features for the SVM.
     """
     check_options(options)
@@ -203,9 +204,13 @@ def run(
     if (file_format or ("csv" if re.search(r"\.csv(\.\w+)?/?$", path) else "parquet")) == "csv":
         header = spark.read.options(header=True).csv(path).limit(0).columns
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        raw = store.read_posts(spark, path, schema, multi_line)
+        numbered = roles.doc_id is None
+        raw = csv_blocks.read_records(spark, path, schema) if numbered else store.read_posts(spark, path, schema, multi_line)
+    elif roles.doc_id is None:
+        raw = csv_blocks.parquet_with_positions(spark, path)
     else:
         raw = spark.read.parquet(path)
+    columns.append(csv_blocks.POSITION)
     docs = roles.bind(raw.select(*[c for c in raw.columns if c in columns]), *([pair_column] if pair_column else []))
     if roles.doc_id is None:
         docs = store.write_through(docs, "posts")
@@ -239,6 +244,8 @@ def run(
             store.write_prepared(prepared, prepared_path)
             prepared = store.read_prepared(spark, prepared_path)
     out["prepared"] = prepared
+    if settings is not None and settings.bigrams:
+        out["bigrams"] = corpus.top_pairs(prepared, 20, settings.min_freq, cross_document=True)
     if options["preprocessing"]["get_descriptive_statistics_after_preprocessing"]:
         words = prepared.withColumn("text", F.array_join("tokens", " "))
         out["profile_prepared"] = profile_tables(words, described["get_top_n_words_per_label"])

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.sources.csv_blocks import POSITION
+
 # The option names an experiment must carry, by section.
 REQUIRED_OPTIONS = {
     "data": ["file_path", "text_column", "label_column", "author_column"],
@@ -46,14 +48,16 @@ class ColumnRoles:
     def bind(self, df: DataFrame, *extra: str) -> DataFrame:
         """One projection to the canonical names, so unused columns are pruned at the scan.
 
-        Without an id column ids follow the read order inside each input split: write the result
-        once (``store.write_prepared``) before relying on them in more than one job.
+        Without an id column the rows' positions in file order are the ids, where the table was read with
+        them (``csv_blocks``). Otherwise ids follow the read order inside each input split: write the
+        result once (``store.write_prepared``) before relying on them in more than one job.
         """
         named = {"doc_id": self.doc_id, "author": self.author, "label": self.label, "text": self.text}
         require_columns(df, [source for source in named.values() if source] + list(extra))
         chosen = [F.col(source).alias(name) for name, source in named.items() if source]
         if self.doc_id is None:
-            chosen.insert(0, F.monotonically_increasing_id().alias("doc_id"))
+            known = POSITION in df.columns
+            chosen.insert(0, (F.col(POSITION) if known else F.monotonically_increasing_id()).alias("doc_id"))
         return df.select(*chosen, *extra)
 
 

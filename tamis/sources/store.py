@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.sources import csv_blocks
+
 
 def read_posts(
     spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header and free text in doubled quotes.
 
-    ``multi_line`` makes every *file* one task, because a quoted line break hides record ends; give
-    large inputs as many files, or set it to False when no text holds a line break.
+    Line breaks inside quotes are found by a pass over the text beforehand, so that large files are still
+    read by many tasks (``csv_blocks``); with ``multi_line=False``, for texts without line breaks, Spark's
+    own reader does without it.
     """
+    if multi_line:
+        return csv_blocks.read_records(spark, path, schema).drop(csv_blocks.POSITION)
     return (
         spark.read.schema(schema)
-        .options(header=True, multiLine=multi_line, quote='"', escape='"')
+        .options(header=True, quote='"', escape='"')
         .csv(path)
     )
 

@@ -185,7 +185,7 @@ def test_pair_scores(spark, cross):
 def test_boundary_pairs_with_few_ranges(spark):
     tokens = [[f"t{i}"] if i % 3 else [] for i in range(50)]
     flat = [t for doc in tokens for t in doc]
-    got = {(r.w1, r.w2) for r in corpus.boundary_pairs(docs_of(spark, tokens), buckets=4).collect()}
+    got = {(r.w1, r.w2) for r in corpus.boundary_pairs(docs_of(spark, tokens), ranges=4).collect()}
     assert got == set(zip(flat, flat[1:]))
 
 
