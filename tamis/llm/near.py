@@ -6,10 +6,14 @@ tables of ``2 * hashes`` minhashes need ``2 * collections * hashes`` minhashes i
 root of what separate tables would take. At similarity 0.85 a pair shares no table with probability
 ``2 * (1 - 0.85**3)**10``, about 1 in 7,000.
 
-Equal shingle sets are one node. Nodes are first compared with the heads of their table buckets; after
-that only pairs of different components are open, and further pivots are taken until none is left.
-So every pair that shares a bucket is compared, ruled out by its sizes and keys, or known to be
-connected, and copies are not expanded into pairs. Comparisons are made on full sets.
+Equal shingle sets are one node. First every node is compared with the heads (smallest nodes) of its
+table buckets, which connects most copies. In buckets that still hold several components the other
+pairs are found by the rare shingles that similar sets must share: sets are ordered by the rising
+frequency of their shingles, and in a band of sizes a pair at the limit has so many in common that one
+of them stands in the first few of both. Nodes that meet there are compared with the head of the
+place, and with one another where components are still apart. So every pair that shares a bucket is
+compared, is too dissimilar to link, or is known to be connected; copies are not expanded into
+pairs, and sets that are only nearly similar do not meet. Comparisons are made on full sets.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import scratch, staged, values
+from tamis.llm.common import staged, values
 from tamis.llm.components import components
+from tamis.operators.corpus import with_table
 
 _P1, _P2, _P3 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = np.uint64(29)
@@ -125,38 +130,69 @@ def shingle_set(text: Column, scheme: Scheme) -> Column:
     return run(text)
 
 
-def _buckets(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(bucket, node, at)`` of table buckets, for the collections whose key some other node has too;
-    ``at`` numbers the table by its two collections."""
+#: Sizes in a band differ by this factor.
+BAND = 1.02
+
+
+def _shared(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(node, first, second)``: the keys of both groups' collections that some other node has too, for
+    nodes that have one in each group."""
     held = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    kept = held.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list(F.struct("pos", "key")).alias("k"))
-    first = F.filter("k", lambda x: x["pos"] < scheme.collections)
-    second = F.filter("k", lambda x: x["pos"] >= scheme.collections)
-    cell = lambda x, y: F.struct(F.xxhash64(x["key"], y["key"]).alias("bucket"), _table(x["pos"], y["pos"]).alias("at"))
-    tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: cell(x, y))))
-    return kept.select("node", F.explode(tables).alias("_t")).select("_t.bucket", "node", "_t.at")
-
+    of_group = lambda inside: F.collect_list(F.when(inside, F.col("key")))
+    kept = held.join(shared, "key", "left_semi").groupBy("node")
+    kept = kept.agg(of_group(F.col("pos") < scheme.collections).alias("first"), of_group(F.col("pos") >= scheme.collections).alias("second"))
+    return kept.where((F.size("first") > 0) & (F.size("second") > 0))
 
-def _table(i: Column, j: Column) -> Column:
-    return (i * 1000 + j).cast("int")
 
+def _tables(shared: DataFrame, *keep: str) -> DataFrame:
+    """``(keep..., cell)`` for each table bucket of a node."""
+    cells = F.flatten(F.transform("first", lambda x: F.transform("second", lambda y: F.xxhash64(x, y))))
+    return shared.select(*keep, F.explode(cells).alias("cell"))
 
-def _first_table(kx: Column, ky: Column, scheme: Scheme) -> Column:
-    """The first of the tables that two nodes share."""
-    c = scheme.collections
-    equal = lambda start: F.zip_with(F.slice(kx, start, c), F.slice(ky, start, c), lambda a, b: a == b)
-    place = lambda start: (F.array_position(equal(start), True) + (start - 2)).cast("int")
-    return _table(place(1), place(c + 1))
 
+def _rare(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(node, label, n, cell)``: for each band of sizes that a partner may have, the first of a set's shingles
+    by rising frequency, of which a similar set of that band has one among its own first.
 
-def _compare(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar enough, by their full sets."""
+    Sets of sizes n and s, s the smaller one, that reach the limit have at least ``percent / (100 + percent)``
+    of ``n + s`` shingles in common. Shingles of one set only come first and need no place.
+    """
+    percent = scheme.percent
+    held = staged(sets.select("node", F.explode("set").alias("s")), "shingles")
+    counts = staged(held.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"), "shared")
+    ordered = with_table(held, counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("o"))
+    size = F.size("set")
+    known = sets.select("node", "label", size.alias("n")).join(ordered, "node")
+    band = lambda x: F.floor(F.log(x) / math.log(BAND) + 1e-9).cast("int")
+    least = F.ceil(F.col("n") * percent / 100)
+    banded = known.withColumn("band", F.explode(F.sequence(band(least), band(F.col("n")))))
+    # The smallest size of a band, or less.
+    lowest = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("band")) * (1 - 1e-6)), F.lit(1))
+    common = F.ceil((F.col("n") + lowest) * percent / (100 + percent) - 1e-9)
+    own = F.col("n") - F.size("o")
+    first = F.greatest(F.col("n") - common + 1 - own, F.lit(0)).cast("int")
+    cells = F.transform(F.slice("o", 1, first), lambda x: F.xxhash64(x["s"], F.col("band")))
+    return banded.select("node", "label", "n", F.explode(cells).alias("cell"))
+
+
+def _compare(pairs: DataFrame, profile: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of the pairs ``(a, b)`` those that are similar enough, by their full sets.
+
+    Pairs whose sizes or keys rule that out are not taken that far.
+    """
+    one = profile.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("keys").alias("k_a"))
+    two = profile.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("k_b"))
+    known = pairs.join(one, "a").join(two, "b")
+    close = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
+    # By default a pair above the limit has 12 of 20 keys in common on average.
+    alike = F.size(F.filter(F.zip_with("k_a", "k_b", lambda x, y: x == y), lambda same: same)) >= scheme.common
+    known = known.where(close & alike).select("a", "b")
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     enough = both * 100 >= scheme.percent * (F.size("x") + F.size("y") - both)
-    return pairs.join(b, "b").join(a, "a").where(enough).select("a", "b")
+    return known.join(b, "b").join(a, "a").where(enough).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = False) -> DataFrame:
@@ -187,7 +223,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     names = named.groupBy("label").agg(F.min("id").alias("component_id"), F.min("best").alias("best"))
     found = named.select("identity", "label").join(names, "label")
     found = found.select("identity", "component_id", F.col("best.row_id").alias("first"))
-    out = rows.join(found, rows["_s.identity"] == found["identity"], "left")
+    # Copies of one text are looked up, not gathered in one task.
+    out = with_table(rows, staged(found, "found"), "identity", F.col("_s.identity"), "left")
     component = F.when(F.col("_s.n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
@@ -199,93 +236,71 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     )
 
 
-def _opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold more than one component, with the bucket's first node as head."""
-    if labels is None:
-        labelled = members.select("bucket", "node", "at", F.col("node").alias("label"))
-    else:
-        labelled = members.join(labels, "node", "left").select("bucket", "node", "at", F.coalesce("label", "node").alias("label"))
-    heads = labelled.groupBy("bucket").agg(
-        F.min("node").alias("head"), F.min("label").alias("_low"), F.max("label").alias("_high")
-    )
-    heads = heads.where("_low != _high").select("bucket", "head")
-    return staged(labelled.join(heads, "bucket"), "open")
+def _heads(members: DataFrame) -> DataFrame:
+    """``(cell, head)``: the smallest node of every cell that has two or more."""
+    return members.groupBy("cell").agg(F.min("node").alias("head"), F.count("*").alias("_n")).where("_n > 1").select("cell", "head")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(node, label)`` of all nodes that are linked with another.
+def _apart(members: DataFrame) -> DataFrame:
+    """``members(cell, node, label, ...)`` of the cells where nodes of two components are left beside the head;
+    the head itself has been compared with all and is left out."""
+    rest = with_table(members, staged(_heads(members), "heads"), "cell").where("node != head").drop("head")
+    ends = rest.groupBy("cell").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    return rest.join(ends.where("_low != _high").select("cell"), "cell", "left_semi")
 
-    At first every node is compared with one head only, the smallest of its open buckets, round by
-    round while that links many: in a large group of copies most buckets are closed by then. After
-    that the open buckets are searched to the end: each round takes, in each of more and more lanes
-    of a bucket, the first node outside the component of the head as a pivot and compares it with
-    all members of other components; a pivot is then done and leaves the bucket.
-    """
-    spark = docs.sparkSession
+
+def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(node, label)`` of all nodes that share a table with another; unlinked ones are their own label."""
     profile = nodes.select("node", "n", "keys")
-    members = staged(_buckets(nodes, scheme), "members")
-    opened = _opened(members, None)
+    shared = staged(_shared(nodes, scheme), "keys")
+    heads = staged(_heads(_tables(shared, "node")), "heads")
 
-    # The sets of all nodes that share a bucket: their texts are read once more.
-    where = nodes.join(opened.select("node").distinct(), "node", "left_semi").select("node", "where.*")
+    # The sets of all nodes that share a table: their texts are read once more.
+    where = nodes.join(shared.select("node"), "node", "left_semi").select("node", "where.*")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     same = source["doc_id"].eqNullSafe(where["doc_id"]) & (source["text_hash"] == where["text_hash"])
     # Repeated rows would give a node's set again; the set is the same, so any will do.
     sets = source.join(where, same).select("node", "text").dropDuplicates(["node"])
     sets = staged(sets.select("node", shingle_set(F.col("text"), scheme).alias("set")), "sets")
 
-    similar, compared = scratch(spark, "similar"), scratch(spark, "compared")
-    schema, labels = "a bigint, b bigint", None
-
-    def likely(na, nb, ka, kb):
-        # By default a pair above the limit has 12 of 20 keys in common on average.
-        close = (na * 100 >= scheme.percent * nb) & (nb * 100 >= scheme.percent * na)
-        return close & (F.size(F.array_intersect(ka, kb)) >= scheme.common)
-
-    def try_pairs(pairs: DataFrame) -> tuple[int, int, DataFrame]:
-        """Compare new pairs; how many there were, how many links there are now, and the labels."""
-        pairs = staged(pairs, "pairs")
-        pairs.write.mode("append").parquet(compared)
-        _compare(pairs, sets, scheme).write.mode("append").parquet(similar)
-        links = spark.read.schema(schema).parquet(similar)
-        return pairs.count(), links.count(), components(links)
-
-    many, before = True, 0
-    while many and not opened.isEmpty():
-        heads = opened.where("node != head").select("node", "head").distinct()
-        if labels is not None:
-            done = spark.read.schema(schema).parquet(compared).select(F.col("a").alias("head"), F.col("b").alias("node"))
-            of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("_head"))
-            of_node = labels.select("node", F.col("label").alias("_node"))
-            heads = heads.join(done, ["node", "head"], "left_anti").join(of_head, "head", "left").join(of_node, "node", "left")
-            heads = heads.where(F.coalesce("_node", "node") != F.coalesce("_head", "head"))
-        pairs = heads.groupBy("node").agg(F.min("head").alias("head"))
-        one = profile.select("node", F.col("n").alias("n_b"), F.col("keys").alias("k_b"))
-        two = profile.select(F.col("node").alias("head"), F.col("n").alias("n_a"), F.col("keys").alias("k_a"))
-        pairs = pairs.join(one, "node").join(two, "head")
-        # Unlikely pairs count as compared.
-        pairs = pairs.select(F.col("head").alias("a"), F.col("node").alias("b"), likely(F.col("n_a"), F.col("n_b"), F.col("k_a"), F.col("k_b")).alias("ok"))
-        pairs = staged(pairs, "heads")
-        pairs.where("not ok").select("a", "b").write.mode("append").parquet(compared)
-        tried, linked, labels = try_pairs(pairs.where("ok").select("a", "b"))
-        many, before = linked - before > 0.1 * tried and tried > 0, linked
-        opened = _opened(opened.select("bucket", "node", "at"), labels)
-    lanes = 8
-    while not opened.isEmpty():
-        head_label = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-        full = opened.join(head_label, "head", "left").withColumn("head_label", F.coalesce("head_label", "head"))
-        lane = F.pmod(F.xxhash64("node"), F.lit(lanes)).alias("_lane")
-        outside = full.where("label != head_label").groupBy("bucket", lane).agg(F.min("node").alias("node"))
-        pivots = staged(outside.select("bucket", "node").join(opened, ["bucket", "node"]).join(profile, "node"), "pivots")
-        one = opened.join(profile, "node").select("bucket", "at", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("n").alias("n_x"), F.col("keys").alias("k_x"))
-        two = pivots.select(F.col("bucket").alias("bucket_"), F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("n").alias("n_y"), F.col("keys").alias("k_y"))
-        # A pair meets in the first of its tables only.
-        meet = (F.col("bucket") == F.col("bucket_")) & (F.col("l_x") != F.col("l_y"))
-        meet = meet & (F.col("at") == _first_table(F.col("k_x"), F.col("k_y"), scheme))
-        met = one.join(two, meet & likely(F.col("n_x"), F.col("n_y"), F.col("k_x"), F.col("k_y")))
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = pairs.join(spark.read.schema(schema).parquet(compared), ["a", "b"], "left_anti")
-        _, _, labels = try_pairs(pairs)
-        opened = _opened(opened.select("bucket", "node", "at").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
-        lanes *= 8
-    return labels if labels is not None else spark.createDataFrame([], "node bigint, label bigint")
+    def joined(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The labels after the similar ones of some pairs are linked, and how many links were new."""
+        links = staged(_compare(pairs, profile, sets, scheme), "links")
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        ends = with_table(with_table(links, of("a"), "a"), of("b"), "b").where("_a != _b")
+        ends = staged(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "ends")
+        names = components(ends).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+        named = with_table(labels, names, "label", how="left")
+        return staged(named.select("node", F.coalesce("_new", "label").alias("label")), "labels"), ends.count()
+
+    # Every node with the heads of its buckets.
+    labels = staged(shared.select("node", F.col("node").alias("label")), "labels")
+    met = with_table(_tables(shared, "node"), heads, "cell").where("node != head")
+    labels, _ = joined(labels, staged(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
+
+    # What is still apart meets by rare shingles.
+    open_ = _apart(_tables(shared.join(labels, "node"), "node", "label")).select("node").distinct()
+    open_ = staged(open_, "open")
+    if open_.isEmpty():
+        return labels
+    places = staged(_rare(sets.join(open_, "node").join(labels, "node"), scheme).drop("label"), "places")
+    firsts = staged(_heads(places), "firsts")
+    many = True
+    while many:
+        named = places.join(labels, "node")
+        head = labels.select(F.col("node").alias("head"), F.col("label").alias("_of_head"))
+        pairs = with_table(named, firsts, "cell").select("node", "head", "label").distinct()
+        pairs = staged(with_table(pairs, head, "head").where("label != _of_head").select(F.col("head").alias("a"), F.col("node").alias("b")), "pairs")
+        labels, found = joined(labels, pairs)
+        # Once more with the next nodes as heads, as long as that connects many.
+        many = found > 0.1 * pairs.count()
+        left = staged(_apart(places.join(labels, "node")).drop("label"), "left")
+        if left.isEmpty():
+            return labels
+        places, firsts = left, staged(_heads(left), "firsts")
+    rest = places.join(labels, "node").select("cell", "node", "label", "n")
+    one, two = (rest.select("cell", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n")]) for end in "ab")
+    near_sizes = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
+    pairs = one.join(two, "cell").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near_sizes)
+    pairs = staged(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    return joined(labels, pairs)[0]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tamis.llm import near
 from tamis.llm.components import components
 from tamis.llm.near import Scheme, near_duplicates, shingles
 from tamis.llm.queries import QUERIES, SQL
@@ -97,6 +98,65 @@ def test_a_bucket_with_several_components_is_searched_to_the_end(spark, document
     assert all(shared[d] >= whole[d] or shared[d] == d for d in shared)
 
 
+def counted(monkeypatch):
+    """How many pairs every round compares."""
+    rounds, compare = [], near._compare
+
+    def run(pairs, *rest):
+        rounds.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(near, "_compare", run)
+    return rounds
+
+
+def nearly(seed, copies, words, changed):
+    """Copies of one text, each with words of its own in some places."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for doc in range(copies):
+        own = list(text)
+        for at in rng.sample(range(0, words, 4), changed):
+            own[at] = f"x{rng.randrange(10**9)}"
+        out.append((doc, " ".join(own)))
+    return out
+
+
+def test_copies_below_the_limit_do_not_all_meet(spark, documents, monkeypatch):
+    """2,000 copies at 0.76 to 0.84: each meets the heads of its buckets, but not all others."""
+    rounds = counted(monkeypatch)
+    rows = nearly(1, 2000, 400, 15)
+    similar = [len(a & b) / len(a | b) for a, b in ((sets_of(rows[i][1]), sets_of(rows[i + 1][1])) for i in range(100))]
+    assert 0.76 <= min(similar) and max(similar) < 0.85
+    out = near_duplicates(documents(*rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out)
+    assert sum(rounds) < 60 * len(rows)
+
+
+def test_copies_around_the_limit_keep_every_link(spark, documents):
+    rows = nearly(2, 150, 200, 5) + [(1000 + d, t) for d, t in nearly(3, 150, 300, 9)] + [(2000 + d, t) for d, t in nearly(4, 60, 50, 1)]
+    assert found(near_duplicates(documents(*rows))) == brute(rows)
+
+
+def test_links_that_heads_miss_are_found_by_rare_shingles(spark, documents, monkeypatch):
+    """Nothing but tables with everything in them: heads link little, the rest comes by shingles."""
+    rows = varied(11, [30, 20, 10, 2, 2], words=60)
+    monkeypatch.setattr(near, "_heads", heads_of_largest(near._heads))
+    weak = Scheme(collections=14, hashes=1)
+    assert found(near_duplicates(documents(*rows), weak)) == brute(rows)
+
+
+def heads_of_largest(heads):
+    """Heads that are the largest nodes instead of the smallest: any head must do."""
+    from pyspark.sql import functions as F
+
+    def run(members):
+        return members.groupBy("cell").agg(F.max("node").alias("head"), F.count("*").alias("_n")).where("_n > 1").select("cell", "head")
+
+    return run
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
     out = QUERIES["op7_tensored_minhash"](spark, PATH)

@@ -34,7 +34,7 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
             labels = spark.read.parquet(f"{PATH}/labels.parquet")
             want = {r["doc_id"] for r in quality.rate(docs, labels).collect() if r["predicted"] == 1}
         else:
-            want = {int(d) for d, _, c in brute([(d, texts[d]) for d in before]) if d == c}
+            want = brute_of_stage({d: texts[d] for d in before})
         assert set(kept) == want
         before, docs = set(kept), spark.read.parquet(f"{tmp_path}/{name}")
     library = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
