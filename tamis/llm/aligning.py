@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 from itertools import chain
 
@@ -36,6 +37,8 @@ REMEMBERED = 4_000_000
 SLAB = 1 << 20
 #: Bytes of texts that are encoded together, unless one text has more.
 AT_ONCE = 1 << 20
+#: Tokens of a stretch that are compared one by one before probing; a power of two.
+SINGLE = 8
 #: Pairs that make up at least this part of all pairs of documents: there are no more than its inverse.
 FREQUENT = 1 << 17
 
@@ -178,8 +181,12 @@ def runs(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], l
     while i < n:
         start, shift = i, j - i
         if a[i] == b[j]:
-            step = 1
-            while i + step <= n and a[i : i + step] == b[i + shift : i + shift + step]:
+            # Short stretches are the most: their first tokens are compared one by one.
+            i, near = i + 1, min(i + SINGLE, n)
+            while i < near and a[i] == b[i + shift]:
+                i += 1
+            step = SINGLE if i == near else 1
+            while step > 1 and i + step <= n and a[i : i + step] == b[i + shift : i + shift + step]:
                 i += step
                 step += step
             while step > 1:  # the ends part within the next ``step``
@@ -245,20 +252,15 @@ class Alignment:
             last = np.zeros(len(ids), bool)
             last[ends - 1] = True
             at = np.arange(len(ids)) + np.repeat(before, np.diff(ends, prepend=0))
-            closed = np.where(last, _spelled(len(ids) and int(ids.max()) + 1, behind)[ids], _spelled(len(ids) and int(ids.max()) + 1, between)[ids])
-            out[at] = closed
+            table = _spelled(between, behind, max(16, int(ids.max()).bit_length()))
+            out[at] = table[ids + last * (len(table) // 2)]
         return b"".join(out.tolist())
 
 
-_SPELLED: dict[bytes, np.ndarray] = {}
-
-
-def _spelled(size: int, behind: bytes) -> np.ndarray:
-    """Decimal numbers with a separator behind, at least ``size`` of them."""
-    known = _SPELLED.get(behind)
-    if known is None or len(known) < size:
-        known = _SPELLED[behind] = np.array([b"%d%b" % (i, behind) for i in range(max(size, 1 << 16))], object)
-    return known
+@cache
+def _spelled(between: bytes, behind: bytes, bits: int) -> np.ndarray:
+    """Decimal numbers of so many bits with one separator, then the same numbers with the other."""
+    return np.array([b"%d%b" % (i, end) for end in (between, behind) for i in range(1 << bits)], object)
 
 
 class Aligner:

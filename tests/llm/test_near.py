@@ -124,11 +124,11 @@ def nearly(seed, copies, words, changed):
 
 
 def test_copies_below_the_limit_do_not_all_meet(spark, documents, monkeypatch):
-    """2,000 copies at 0.76 to 0.84: each meets the heads of its buckets, but not all others."""
+    """2,000 copies, a tenth of each its own: each meets the heads of its buckets, but not all others."""
     rounds = counted(monkeypatch)
     rows = nearly(1, 2000, 400, 15)
     similar = [len(a & b) / len(a | b) for a, b in ((sets_of(rows[i][1]), sets_of(rows[i + 1][1])) for i in range(100))]
-    assert 0.76 <= min(similar) and max(similar) < 0.85
+    assert 0.6 <= min(similar) and max(similar) < 0.8
     out = near_duplicates(documents(*rows)).collect()
     assert all(r["component_id"] == r["doc_id"] for r in out)
     assert sum(rounds) < 60 * len(rows)
