@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.inputs import FREQ, OCC, STOPS, TOK, documents, joined, r6, stratified_sql, tokenized
+from checks.inputs import FREQ, NOT_WS, OCC, STOPS, TOK, documents, joined, r6, stratified_sql, tokenized
 from tamis.functions.text import adjacent_pairs
 from tamis.operators import corpus, splits, tfidf
 from tamis.sources.store import write_through
@@ -136,9 +136,34 @@ def m1_fold_tfidf(spark, path):
     )
 
 
+def a14_term_rows(spark, path):
+    """Every document and term."""
+    return _counts(spark, path).select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"), r6(tfidf.sublinear(F.col("tf"))).alias("sublinear"))
+
+
+def a16_weight_rows(spark, path):
+    """Every document and term, with the document's label."""
+    return tfidf.corpus_tfidf(_terms(spark, path)).select("doc_id", "label", "term", r6(F.col("weight")).alias("weight"))
+
+
+def m1_weight_rows(spark, path):
+    """Every fold, document and term."""
+    weights = tfidf.fold_tfidf(_folded(spark, path), FOLDS)
+    return weights.select(F.col("model_fold").cast("bigint").alias("fold"), "split", "doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+def t3_abbreviations(spark, path):
+    found = corpus.abbreviations(documents(spark, path), least=0.0, min_count=1)
+    return found.select("word", r6(F.col("score")).alias("score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        a14_term_rows,
+        a16_weight_rows,
+        m1_weight_rows,
+        t3_abbreviations,
         k2_top_terms,
         a11_token_frequencies,
         a12_pair_scores,
@@ -207,7 +232,30 @@ _FITTED = (
     "fit AS (SELECT m, term, count(*) AS df, ln((1.0 + max(n)) / (1.0 + count(*))) + 1 AS idf, max(n) AS n "
     "FROM n JOIN counts ON fold <> m GROUP BY m, term HAVING count(*) >= 2 AND count(*) <= 0.9 * max(n))"
 )
+_WEIGHED_FOLDS = (
+    f"WITH {_FOLDED}, {_FITTED}, w AS (SELECT fit.m, CASE WHEN c.fold = fit.m THEN 'val' ELSE 'train' END AS split, "
+    "c.doc_id, term, (1 + ln(c.tf)) * fit.idf AS w FROM counts c JOIN fit USING (term)) "
+    "SELECT m AS fold, split, doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY m, doc_id)), 6) AS weight FROM w"
+)
+_MARKS_BEFORE, _MARKS_BEHIND = r"""^[("''\[{“„«‘]+""", r"""[)"''\]},;:!?”»’]+$"""
+_ABBREVIATIONS = (
+    f"WITH stretches AS (SELECT unnest(regexp_extract_all(lower(text), '{NOT_WS}+')) AS s FROM documents), "
+    f"plain AS (SELECT regexp_replace(regexp_replace(s, '{_MARKS_BEFORE}', ''), '{_MARKS_BEHIND}', '') AS w FROM stretches), "
+    r"words AS (SELECT CASE WHEN ends_with(w, '.') THEN left(w, length(w) - 1) ELSE w END AS word, ends_with(w, '.') AS stop "
+    r"FROM plain WHERE regexp_matches(w, '\pL') AND NOT ends_with(w, '..')), "
+    "counts AS (SELECT word, CAST(count(*) FILTER (stop) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY word), "
+    "shares AS (SELECT *, (SELECT sum(k) / sum(n) FROM counts) AS p, length(word) - length(replace(word, '.', '')) AS inner_stops FROM counts), "
+    "scored AS (SELECT word, k, n, p, inner_stops, CAST(greatest(length(word) - inner_stops, 1) AS DOUBLE) AS letters, "
+    "2 * ((CASE WHEN k > 0 THEN k * ln(greatest(k / n, 1e-300)) ELSE 0 END + CASE WHEN n > k THEN (n - k) * ln(greatest(1 - k / n, 1e-300)) ELSE 0 END) "
+    "- (CASE WHEN k > 0 THEN k * ln(greatest(p, 1e-300)) ELSE 0 END + CASE WHEN n > k THEN (n - k) * ln(greatest(1 - p, 1e-300)) ELSE 0 END)) AS ratio FROM shares) "
+    "SELECT word, round(CASE WHEN k / n > p THEN ratio * (inner_stops + 1) * exp(-letters) * pow(letters, -(n - k)) ELSE 0 END, 6) + 0.0 AS score "
+    "FROM scored WHERE k >= 1"
+)
 SQL = {
+    "a14_term_rows": f"{_UNI} SELECT doc_id, term, tf, round(1 + ln(tf), 6) AS sublinear FROM tf",
+    "a16_weight_rows": f"{_UNI}, {_UNIT} SELECT doc_id, label, term, round(w, 6) AS weight FROM unit",
+    "m1_weight_rows": _WEIGHED_FOLDS,
+    "t3_abbreviations": _ABBREVIATIONS,
     "k2_top_terms": f"WITH {TOK}, {_BIGRAMS}, {_WEIGHTS}, {_UNIT} SELECT label, term, weight, rank FROM ranked WHERE rank <= 50",
     "a11_token_frequencies": f"WITH {TOK}, {OCC}, {FREQ} SELECT token, n FROM freq",
     "a12_pair_scores": f"WITH {TOK}, {OCC}, {FREQ}, {_NEXT}, {_PAIRS}, {_PMI.format(5)} SELECT w1, w2, n, pmi FROM scored",

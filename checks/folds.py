@@ -28,6 +28,19 @@ def w4_author_folds(spark, path):
     return _fold(splits.author_folds(turns(spark, path), 5))
 
 
+def w4_balanced_folds(spark, path):
+    """Each label's posts, the authors that have it, and whether its folds differ by no more than 5 % of them and
+    two posts; every author is in one fold."""
+    docs = turns(spark, path).drop("text")
+    folds = splits.balanced_author_folds(docs, 5)
+    counts = docs.join(folds, "author").groupBy("label", "fold").agg(F.count("*").alias("n")).groupBy("label")
+    spread = counts.agg(F.sum("n").alias("posts"), (F.max("n") - F.min("n")).alias("_d"), F.count("*").alias("folds"))
+    authors = docs.join(folds, "author").groupBy("label").agg(F.count_distinct("author").alias("authors"), F.count_distinct("author", "fold").alias("places"))
+    return spread.join(authors, "label").select(
+        "label", "posts", "folds", "authors", "places", (F.col("_d") <= 0.05 * F.col("posts") + 2).alias("is_even")
+    )
+
+
 def j4_author_fold_lookup(spark, path):
     docs = turns(spark, path).drop("text")
     return _fold(splits.with_author_folds(docs, splits.author_folds(docs, 5)))
@@ -56,6 +69,7 @@ QUERIES = {
         w1_cap_turns,
         w3_stratified_folds,
         w4_author_folds,
+        w4_balanced_folds,
         j4_author_fold_lookup,
         u2_train_and_validation,
         a26_balanced_weights,
@@ -79,6 +93,8 @@ SQL = {
     "w3_stratified_folds": f"WITH {_DOCS}, {stratified_sql('folded', 'docs', 5)} "
     "SELECT doc_id, label, CAST(fold AS BIGINT) AS fold FROM folded",
     "w4_author_folds": f"WITH {_AUTHORS} SELECT author, fold FROM folds",
+    "w4_balanced_folds": f"WITH {TURNS} SELECT label, count(*) AS posts, CAST(5 AS BIGINT) AS folds, count(DISTINCT author) AS authors, "
+    "count(DISTINCT author) AS places, true AS is_even FROM turns GROUP BY label",
     "j4_author_fold_lookup": f"WITH {_AUTHORS} SELECT author, doc_id, label, fold FROM turns JOIN folds USING (author)",
     "u2_train_and_validation": f"WITH {_DOCS}, {stratified_sql('folded', 'docs', 5)} SELECT doc_id, m AS model_fold, "
     "CASE WHEN fold = m THEN 'val' ELSE 'train' END AS split FROM folded CROSS JOIN range(0, 5) AS r(m)",
