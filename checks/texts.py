@@ -78,17 +78,23 @@ def t5_model_text(spark, path):
     return documents(spark, path).select("doc_id", t.model_text(F.col("text")).alias("text"))
 
 
-def _lemmas(docs):
+def _lemmas(docs, levels=1):
     """Noun lexicon from the corpus itself: words seen at least twice that do not end in s."""
     freq = corpus.token_frequencies(docs)
     nouns = freq.where((F.col("n") >= 2) & ~F.col("token").endswith("s"))
-    return corpus.lemma_table(freq, nouns.select(F.col("token").alias("noun")))
+    return corpus.lemma_table(freq, nouns.select(F.col("token").alias("noun")), levels=levels)
 
 
 def t6_lemma_table(spark, path):
+    """Endings taken off once."""
     return _lemmas(tokenized(spark, path))
 
 
+def t6_lemma_levels(spark, path):
+    """Endings taken off until there is a hit."""
+    return _lemmas(tokenized(spark, path), None)
+
+
 def j6_lemmatize(spark, path):
     docs = tokenized(spark, path)
     return corpus.lemmatize(docs, _lemmas(docs)).select("doc_id", joined())
@@ -121,6 +127,7 @@ QUERIES = {
         t4_normalized_tokens,
         t5_model_text,
         t6_lemma_table,
+        t6_lemma_levels,
         j6_lemmatize,
         t7_clean_tokens,
         t8_profile_tokens,
@@ -167,7 +174,19 @@ _LEMMAS = (
     "FROM forms WHERE noun IN (SELECT noun FROM nouns)), "
     "lemmas AS (SELECT form, noun AS lemma FROM hits WHERE r = 1)"
 )
+_ENDINGS = ", ".join(f"('{e}', '{n}')" for e, n in NOUN_ENDINGS)
+_LEMMA_LEVELS = (
+    f"WITH RECURSIVE {TOK}, {OCC}, freq AS (SELECT token, count(*) AS n FROM occ GROUP BY token), "
+    "nouns AS (SELECT token AS noun FROM freq WHERE n >= 2 AND NOT ends_with(token, 's')), "
+    f"endings(old, new) AS (VALUES {_ENDINGS}), "
+    "levels AS (SELECT token AS form, token AS noun, 0 AS level FROM freq "
+    "UNION SELECT form, left(noun, length(noun) - length(old)) || new, level + 1 FROM levels JOIN endings ON ends_with(noun, old)), "
+    "hits AS (SELECT form, noun, row_number() OVER (PARTITION BY form ORDER BY greatest(level, 1), length(noun), noun) AS r "
+    "FROM levels WHERE noun IN (SELECT noun FROM nouns)) "
+    "SELECT form, noun AS lemma FROM hits WHERE r = 1"
+)
 SQL = {
+    "t6_lemma_levels": _LEMMA_LEVELS,
     "f2_null_text": "SELECT doc_id, CASE WHEN lang = 'de' THEN '' ELSE " + _MODEL.format("text") + " END AS text FROM documents",
     "f3_text_pair": f"SELECT doc_id, {_MODEL.format('text')} AS text_a, {_MODEL.format('source')} AS text_b FROM documents",
     "t1_collapse_blanks": "SELECT doc_id, trim("

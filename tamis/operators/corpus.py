@@ -199,13 +199,14 @@ def lemma_table(
     nouns: DataFrame,
     exceptions: DataFrame | None = None,
     endings: Sequence[tuple[str, str]] = NOUN_ENDINGS,
+    levels: int | None = None,
 ) -> DataFrame:
     """``(form, lemma)`` for the words of ``vocabulary(token)`` that have a noun lemma.
 
     Noun morphology over a lexicon ``nouns(noun)``: the word itself and what its endings turn into
     are looked up, the shortest hit wins, ties by name. While there is none, endings are taken off
-    what they turned into, level by level; the first level with a hit counts. All levels are made
-    inside the row and looked up by one join. Forms listed in ``exceptions(form, lemma)`` use those
+    what they turned into, level by level (no more than ``levels``); the first level with a hit counts.
+    All levels are made inside the row and looked up by one join. Forms listed in ``exceptions(form, lemma)`` use those
     candidates and no endings. Words without a hit are absent and stay as they are.
     """
     token = F.col("token")
@@ -219,7 +220,9 @@ def lemma_table(
 
     # A word can lose an ending no more often than it has letters. The word and level 1 count alike.
     start = F.struct(F.array(token).alias("current"), at(F.lit(1), F.array(token)).alias("found")).cast(made)
-    by_rule = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), start, deeper)["found"]
+    most = F.greatest(F.length(token), F.lit(1))
+    most = most if levels is None else F.least(most, F.lit(levels))
+    by_rule = F.aggregate(F.sequence(F.lit(1), most), start, deeper)["found"]
     # Most words have no ending at all.
     ends = F.size(_endings_off(token, endings)) > 0
     by_rule = F.when(ends, by_rule).otherwise(at(F.lit(1), F.array(token)))
