@@ -98,18 +98,6 @@ def test_a_bucket_with_several_components_is_searched_to_the_end(spark, document
     assert all(shared[d] >= whole[d] or shared[d] == d for d in shared)
 
 
-def counted(monkeypatch):
-    """How many pairs every round compares."""
-    rounds, compare = [], near._compare
-
-    def run(pairs, *rest):
-        rounds.append(pairs.count())
-        return compare(pairs, *rest)
-
-    monkeypatch.setattr(near, "_compare", run)
-    return rounds
-
-
 def nearly(seed, copies, words, changed):
     """Copies of one text, each with words of its own in some places."""
     rng = random.Random(seed)
@@ -123,17 +111,6 @@ def nearly(seed, copies, words, changed):
     return out
 
 
-def test_copies_below_the_limit_do_not_all_meet(spark, documents, monkeypatch):
-    """2,000 copies, a tenth of each its own: each meets the heads of its buckets, but not all others."""
-    rounds = counted(monkeypatch)
-    rows = nearly(1, 2000, 400, 15)
-    similar = [len(a & b) / len(a | b) for a, b in ((sets_of(rows[i][1]), sets_of(rows[i + 1][1])) for i in range(100))]
-    assert 0.6 <= min(similar) and max(similar) < 0.8
-    out = near_duplicates(documents(*rows)).collect()
-    assert all(r["component_id"] == r["doc_id"] for r in out)
-    assert sum(rounds) < 60 * len(rows)
-
-
 def test_copies_around_the_limit_keep_every_link(spark, documents):
     rows = nearly(2, 150, 200, 5) + [(1000 + d, t) for d, t in nearly(3, 150, 300, 9)] + [(2000 + d, t) for d, t in nearly(4, 60, 50, 1)]
     assert found(near_duplicates(documents(*rows))) == brute(rows)
