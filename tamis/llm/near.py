@@ -11,9 +11,11 @@ table buckets, which connects most copies. In buckets that still hold several co
 pairs are found by the rare shingles that similar sets must share: sets are ordered by the rising
 frequency of their shingles, and in a band of sizes a pair at the limit has so many in common that one
 of them stands in the first few of both. Nodes that meet there are compared with the head of the
-place, and with one another where components are still apart. So every pair that shares a bucket is
-compared, is too dissimilar to link, or is known to be connected; copies are not expanded into
-pairs, and sets that are only nearly similar do not meet. Comparisons are made on full sets.
+place. Where many of several components are left, they are described by their differences from the
+head: two similar sets differ from it in much the same elements, and again one of the rarest of
+these is in both. So every pair that shares a bucket is compared, is too dissimilar to link, or is
+known to be connected; copies are not expanded into pairs, and most sets that are only nearly
+similar do not meet. Comparisons are made on full sets.
 """
 
 from __future__ import annotations
@@ -176,6 +178,60 @@ def _rare(sets: DataFrame, scheme: Scheme) -> DataFrame:
     return banded.select("node", "label", "n", F.explode(cells).alias("cell"))
 
 
+#: Nodes of a cell that meet pair by pair, which takes at most half as many pairs a place.
+FEW = 32
+#: Elements that the differences in a level may vary by.
+LEVEL = 4
+
+
+def _met(places: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs ``(a, b)`` of ``places(cell, node, label, n, low)`` that share a cell, are of two labels and of
+    sizes that can link, and of which one is ``low``."""
+    one, two = (places.select("cell", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n", "low")]) for end in "ab")
+    near_sizes = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
+    once = ~F.col("low_b") | (F.col("node_a") < F.col("node_b"))
+    pairs = one.where("low_a").join(two, "cell").where(near_sizes & once & (F.col("label_a") != F.col("label_b")))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _differing(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(cell, node, label, n, low)`` for nodes that have been compared with the same head: places by what
+    they do not have in common with it.
+
+    Sets A and B differ by the elements in which one of them alone differs from the head's. With
+    ``w = (100 + percent) * d - (100 - percent) * n`` for a set of size n that differs from the head's by d
+    elements, A and B link exactly if their differences share ``(w(A) + w(B)) / (2 * (100 + percent))``
+    elements. Pairs that need to share none link to the head both, which is known by now. The others
+    share one of the first of their differences by rising frequency, the fewer of them the more they
+    must share. In a level of w stand the sets of that level, which are low in it, and those of higher
+    w; each pair meets in the level of its lower w.
+    """
+    more, less = 100 + scheme.percent, 100 - scheme.percent
+    of_head = sets.select(F.col("node").alias("head"), F.col("set").alias("y"))
+    held = met.join(sets.select("node", F.col("set").alias("x")), "node")
+    held = with_table(held, of_head, "head")
+    differing = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    told = staged(held.select("head", "node", "label", "n", F.transform(differing, lambda e: F.xxhash64("head", e)).alias("d")), "told")
+    w = more * F.size("d") - less * F.col("n")
+    known = told.withColumn("w", w).withColumn("own", F.floor(F.col("w") / (LEVEL * more)))
+    lowest = known.groupBy("head").agg(F.min("own").alias("lowest"))
+    each = told.select("head", "node", F.explode("d").alias("e"))
+    counts = staged(each.groupBy("e").agg(F.count("*").alias("times")).where("times > 1"), "shared")
+    ordered = with_table(each, counts, "e").groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("o"))
+    known = with_table(known, lowest, "head").join(ordered, ["head", "node"])
+    # The level of the lowest partner with which something must be shared.
+    least = F.greatest(F.col("lowest"), F.floor(-F.col("w") / (LEVEL * more)))
+    levels = F.when(F.col("w") >= 0, F.sequence(least, F.col("own"))).otherwise(F.array("own"))
+    known = known.withColumn("level", F.explode(levels))
+    needed = F.greatest(F.ceil((F.col("level") * LEVEL * more + F.col("w")) / (2 * more) - 1e-9), F.lit(1))
+    # Differences of one set only come first and need no place.
+    alone = F.size("d") - F.size("o")
+    first = F.greatest(F.size("d") - needed + 1 - alone, F.lit(0)).cast("int")
+    cells = F.transform(F.slice("o", 1, first), lambda e: F.xxhash64(e["e"], F.col("level")))
+    low = (F.col("level") == F.col("own")).alias("low")
+    return known.select(F.explode(cells).alias("cell"), "node", "label", "n", low)
+
+
 def _compare(pairs: DataFrame, profile: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """Of the pairs ``(a, b)`` those that are similar enough, by their full sets.
 
@@ -284,23 +340,24 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     if open_.isEmpty():
         return labels
     places = staged(_rare(sets.join(open_, "node").join(labels, "node"), scheme).drop("label"), "places")
-    firsts = staged(_heads(places), "firsts")
-    many = True
-    while many:
+    while True:
+        firsts = staged(_heads(places), "firsts")
         named = places.join(labels, "node")
         head = labels.select(F.col("node").alias("head"), F.col("label").alias("_of_head"))
         pairs = with_table(named, firsts, "cell").select("node", "head", "label").distinct()
         pairs = staged(with_table(pairs, head, "head").where("label != _of_head").select(F.col("head").alias("a"), F.col("node").alias("b")), "pairs")
         labels, found = joined(labels, pairs)
-        # Once more with the next nodes as heads, as long as that connects many.
-        many = found > 0.1 * pairs.count()
         left = staged(_apart(places.join(labels, "node")).drop("label"), "left")
         if left.isEmpty():
             return labels
-        places, firsts = left, staged(_heads(left), "firsts")
-    rest = places.join(labels, "node").select("cell", "node", "label", "n")
-    one, two = (rest.select("cell", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n")]) for end in "ab")
-    near_sizes = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
-    pairs = one.join(two, "cell").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near_sizes)
-    pairs = staged(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-    return joined(labels, pairs)[0]
+        # Once more with the next nodes as heads, as long as that connects many.
+        if found <= 0.1 * pairs.count():
+            break
+        places = left
+    rest = left.join(labels, "node")
+    sizes = rest.groupBy("cell").agg((F.count("*") > FEW).alias("large"))
+    rest = staged(with_table(rest, sizes, "cell").select("cell", "node", "label", "n", "large"), "rest")
+    few = _met(rest.where("not large").withColumn("low", F.lit(True)), scheme)
+    met = with_table(rest.where("large"), firsts, "cell").select("head", "node", "label", "n").distinct()
+    many = _met(_differing(staged(met, "met"), sets, scheme), scheme)
+    return joined(labels, staged(few.unionByName(many).distinct(), "pairs"))[0]

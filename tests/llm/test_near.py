@@ -124,6 +124,43 @@ def test_links_that_heads_miss_are_found_by_rare_shingles(spark, documents, monk
     assert found(near_duplicates(documents(*rows), weak)) == brute(rows)
 
 
+def strayed(seed, copies, words, least, most):
+    """Copies of one text that differ from it by ``least`` to ``most`` words, from a pool that repeats."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for doc in range(copies):
+        own = list(text)
+        for at in rng.sample(range(words), rng.randint(least, most)):
+            own[at] = f"x{rng.randrange(40)}"
+        out.append((doc, " ".join(own)))
+    return out
+
+
+def test_links_between_large_groups_are_found_by_differences(spark, documents, monkeypatch):
+    """Every pair that links through places of differences alone, on heads in the middle and far away."""
+    monkeypatch.setattr(near, "FEW", 1)
+    for heads in (near._heads, heads_of_largest(near._heads)):
+        monkeypatch.setattr(near, "_heads", heads)
+        rows = strayed(6, 120, 150, 2, 6) + [(1000 + d, t) for d, t in varied(11, [30, 20, 2], words=60)]
+        assert found(near_duplicates(documents(*rows), Scheme(collections=14, hashes=1))) == brute(rows)
+
+
+def test_copies_below_the_limit_do_not_all_meet(spark, documents, monkeypatch):
+    """1,200 copies, most pairs at similarities of 0.6 to 0.84: few of the 719,400 pairs are compared."""
+    compared, compare = [], near._compare
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(near, "_compare", counted)
+    rows = strayed(8, 1200, 150, 4, 8)
+    out = near_duplicates(documents(*rows))
+    assert found(out) == brute(rows)
+    assert sum(compared) < 719_400 / 4
+
+
 def heads_of_largest(heads):
     """Heads that are the largest nodes instead of the smallest: any head must do."""
     from pyspark.sql import functions as F
