@@ -71,6 +71,16 @@ def _grams(hashed: Column) -> Column:
     return F.concat(F.array(F.lit(_SENTINEL).cast("bigint")), two, three)
 
 
+def _spelled(listed: Column) -> Column:
+    """The words of each of ``_grams``."""
+    n = F.size(listed)
+    cut = lambda start, gone: F.slice(listed, start, F.greatest(n - gone, F.lit(0)))
+    two = F.zip_with(cut(1, 1), cut(2, 1), lambda a, b: F.array(a, b))
+    ends = F.zip_with(cut(1, 2), cut(2, 2), lambda a, b: F.array(a, b))
+    three = F.zip_with(ends, cut(3, 2), lambda ab, c: F.array(ab[0], ab[1], c))
+    return F.concat(F.array(F.array().cast("array<string>")), two, three)
+
+
 def _hashed(listed: Column) -> Column:
     # Lower case beyond ASCII may only add hits, which the words themselves then refute.
     return F.transform(listed, lambda w: F.xxhash64(F.lower(w)))
@@ -104,12 +114,16 @@ def hits(docs: DataFrame, notices: tuple[tuple[str, str], ...]) -> DataFrame:
     """Verified hits, and for every row of ``docs`` one of template -1."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_w"))
     rows = rows.withColumn("_h", _hashed(F.col("_w"))).withColumn("_n", F.size("_w"))
-    each = rows.select("doc_id", "_text", "_w", "_n", F.posexplode(_grams(F.col("_h"))).alias("_i", "g"))
+    # Each gram carries its own words: a row with all words of the text beside every gram would take
+    # the square of its length.
+    grams = F.zip_with(_grams(F.col("_h")), _spelled(F.col("_w")), lambda g, w: F.struct(g.alias("g"), w.alias("words")))
+    each = rows.select("doc_id", "_text", "_n", F.posexplode(grams).alias("_i", "_gram"))
+    each = each.select("doc_id", "_text", "_n", "_i", F.col("_gram.g").alias("g"), F.col("_gram.words").alias("words"))
     # The templates are constants of this module or a parameter of a few hundred words.
     found = each.join(F.broadcast(template_grams(docs.sparkSession, notices)), "g")
     at = F.when(F.col("_i") < F.col("_n"), F.col("_i") - 1).otherwise(F.col("_i") - F.col("_n"))
     found = found.withColumn("_d", F.when(F.col("template") < 0, 0).otherwise(at))
-    spelled = F.transform(F.expr("slice(_w, _d + 1, k)"), _lowered)
+    spelled = F.transform("words", _lowered)
     found = found.where((F.col("template") < 0) | (spelled == F.col("gram")))
     return found.select("doc_id", "_text", "_n", "template", "label", "base", "size", "k", "t", (F.col("_d") - F.col("t")).alias("diagonal"))
 

@@ -109,3 +109,19 @@ def test_licences_on_odd_texts(spark, documents):
     assert labels[14, 8][0] == "apache,apache-2.0"
     assert licences.scan(documents()).count() == 0
     assert "op4_diagonal_licences" in SQL
+
+
+def test_time_of_licences_grows_with_the_length_of_a_text(spark, documents):
+    """400,000 words take less than twelve times what 40,000 take."""
+    import time
+
+    def seconds(n):
+        text = " ".join("the mit license" if i % 100 == 0 else f"w{i % 977}" for i in range(n))
+        start = time.monotonic()
+        (row,) = scan(documents((1, text))).collect()
+        assert (row["n_words"], row["n_base"], row["first_word"]) == (n + 2 * (n // 100), n // 100, 1)
+        return time.monotonic() - start
+
+    seconds(1_000)
+    short = seconds(40_000)
+    assert seconds(400_000) < 12 * short
