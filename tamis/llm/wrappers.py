@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -56,22 +57,40 @@ _HOLDERS = frozenset("content main article body post entry story text".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 _CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OTHER = r"<!--.*?(?:-->|$)|<[!?][^>]*+>"
+#: A tag ends at the first > outside quotes, or at the first one.
+_TOKEN = re.compile(rf"{_OTHER}|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LENIENT = re.compile(rf"{_OTHER}|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_STARTS = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
-    """``(kind, name, rest)``: ``open`` with attributes, ``close``, or ``text`` as written."""
-    at, n = 0, len(html)
+    """``(kind, name, rest)``: ``open`` with attributes, ``close``, or ``text`` as written.
+
+    From a tag on whose quotes do not end before the page does, tags end at their first ``>``. Each part
+    of a page is read a bounded number of times, whatever its quotes.
+    """
+    token, n, last = _TOKEN, len(html), html.rfind(">")
+    told = at = 0
     while at < n:
-        found = _TOKEN.search(html, at)
+        start = html.find("<", at)
+        if start > last:
+            # No tag can end here, only a comment may begin.
+            start = html.find("<!--", start)
+        if start < 0:
+            break
+        found = token.match(html, start)
+        if not found and token is _TOKEN and _STARTS.match(html, start):
+            token = _LENIENT
+            found = token.match(html, start)
         if not found:
-            yield "text", "", html[at:]
-            return
-        if found.start() > at:
-            yield "text", "", html[at : found.start()]
-        at = found.end()
+            at = start + 1
+            continue
+        if start > told:
+            yield "text", "", html[told:start]
+        told = at = found.end()
         name = (found.group(2) or "").lower()
         if not name:
             continue
@@ -80,12 +99,14 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", name, found.group(3)
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(html, at, last + 1)
             inner = html[at : end.start()] if end else html[at:]
             if name in ("title", "textarea"):
                 yield "text", "", inner
             yield "close", name, ""
-            at = end.end() if end else n
+            told = at = end.end() if end else n
+    if told < n:
+        yield "text", "", html[told:]
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -120,24 +141,30 @@ def key(name: str, attributes: dict[str, str]) -> str:
 
 
 class Page:
-    """A page walked once: ``visit(stack, text)`` for each text outside boilerplate.
+    """A page walked once: ``text(stack, raw)`` for each text.
 
-    The stack holds ``(name, key, in_article, boilerplate, node)`` of the open elements.
+    The stack holds ``(name, key, in_article, boilerplate, node, in_link)`` of the open elements.
     """
 
     def __init__(self, html: str):
         self.html = html
 
     def walk(self, node, enter, text, block) -> None:
-        stack = [("", "", False, False, node)]
+        stack = [("", "", False, False, node, False)]
+        is_open = Counter()
+
+        def cut(i: int) -> None:
+            is_open.subtract(s[0] for s in stack[i:])
+            del stack[i:]
+
         for kind, name, rest in events(self.html):
             if kind == "text":
                 text(stack, rest)
             elif kind == "open":
                 for ended in _ENDS.get(name, ()):
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if is_open[ended] else ():
                         if stack[i][0] == ended:
-                            del stack[i:]
+                            cut(i)
                             break
                         if stack[i][0] in _SCOPE:
                             break
@@ -150,19 +177,22 @@ class Page:
                 dropped = above[3] or boilerplate(name, attributes, above[2])
                 within = above[2] or name in ("article", "main")
                 k = key(name, attributes)
-                stack.append((name, k, within, dropped, enter(stack, k, dropped)))
+                stack.append((name, k, within, dropped, enter(stack, k, dropped), above[5] or name == "a"))
+                is_open[name] += 1
             else:
                 if name in _BLOCK:
                     block(stack)
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if is_open[name] else ():
                     if stack[i][0] == name:
-                        del stack[i:]
+                        cut(i)
                         break
 
 
 #: A group of a wrapper: key, quantifier ("", "?", "+", "*"), pages, characters outside links, children.
 Group = list
 SLOT = "#text"
+#: Elements nested deeper than this belong to the group at this depth.
+DEEPEST = 150
 
 
 def _group(k: str) -> Group:
@@ -174,6 +204,8 @@ def page_wrapper(html: str) -> Group:
     root = _group("")
 
     def enter(stack, k, dropped):
+        if len(stack) > DEEPEST:
+            return stack[-1][4]
         made = _group("!" + k if dropped else k)
         stack[-1][4][4].append(made)
         return made
@@ -184,16 +216,14 @@ def page_wrapper(html: str) -> Group:
             inside = stack[-1][4][4]
             if not inside or inside[-1][0] != SLOT:
                 inside.append(_group(SLOT))
-            linked = any(s[0] == "a" for s in stack)
-            for open_ in [s[4] for s in stack] + [inside[-1]]:
-                open_[3] += 0 if linked or stack[-1][3] else size
+            inside[-1][3] += 0 if stack[-1][5] or stack[-1][3] else size
 
     Page(html).walk(root, enter, text, lambda stack: None)
     return _folded(root)
 
 
 def _folded(group: Group) -> Group:
-    """Neighbouring children of equal key become one repeated group, from the leaves up."""
+    """Neighbouring children of equal key become one repeated group, and characters are summed, from the leaves up."""
     out: list[Group] = []
     for child in map(_folded, group[4]):
         if out and out[-1][0] == child[0]:
@@ -201,6 +231,7 @@ def _folded(group: Group) -> Group:
             out[-1][1] = "*" if out[-1][1] in ("?", "*") else "+"
         else:
             out.append(child)
+    group[3] += sum(child[3] for child in out)
     group[4] = out
     return group
 
@@ -298,7 +329,7 @@ def _below(html: str, path: list[str]) -> tuple[str | None, bool]:
         if stack[-1][4] == len(path):
             parts.append(unescape(raw))
         elif not missed and raw.strip():
-            missed = not any(s[0] == "a" for s in stack)
+            missed = not stack[-1][5]
 
     Page(html).walk(0, enter, text, lambda stack: parts.append(" "))
     return (" ".join("".join(parts).split()) if found else None), missed
@@ -369,7 +400,8 @@ def infer(pages: DataFrame, shares: int = 32) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per row of ``pages``.
 
-    Null and empty html, and pages without an article, have the empty text. Repeated rows stay, null
+    Null and empty html, and pages without an article, have the empty text. Tags may be nested to any depth
+    and left open, quotes may be unbalanced (see ``events``). Repeated rows stay, null
     ids and urls stay null. Character references are decoded, white space becomes one space.
     """
     paths = infer(pages).select(F.col("host").alias("_host"), F.col("path").alias("_path"))

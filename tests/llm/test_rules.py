@@ -118,7 +118,7 @@ def test_time_of_licences_grows_with_the_length_of_a_text(spark, documents):
     def seconds(n):
         text = " ".join("the mit license" if i % 100 == 0 else f"w{i % 977}" for i in range(n))
         start = time.monotonic()
-        (row,) = scan(documents((1, text))).collect()
+        (row,) = licences.scan(documents((1, text))).collect()
         assert (row["n_words"], row["n_base"], row["first_word"]) == (n + 2 * (n // 100), n // 100, 1)
         return time.monotonic() - start
 

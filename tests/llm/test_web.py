@@ -3,6 +3,7 @@
 import gzip
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -204,3 +205,25 @@ def test_recall_of_the_query(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = sum(len(got[q] & {i for _, i in w}) for q, w in want.items())
     assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_deep_nesting_and_open_quotes_take_seconds(spark):
+    """100,000 open tags, as many closes that match none, and a megabyte of unbalanced quotes."""
+    from tamis.llm.wrappers import main_texts
+
+    article = "<article><p>One text.</p></article>"
+    pages = {
+        1: "<div>" * 100_000 + article,
+        2: "<div><b>" * 50_000 + article + "</i>" * 100_000,
+        3: article + '<p title="x ' * 80_000,
+        4: article + "<p title='x> " * 40_001,
+        5: "<div>" + "<p>a" * 20_000 + "</div>" + "</script" * 50_000,
+        6: article + "</script" * 50_000 + "<script>" + "</script" * 50_000,
+        7: article + "<!-- never closed " * 1_000,
+    }
+    rows = [(i, f"http://h{i}.example/", html) for i, html in pages.items()]
+    start = time.monotonic()
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert time.monotonic() - start < 60
+    assert got[1] == got[2] == got[7] == "One text."
+    assert all(got[i].startswith("One text.") for i in (3, 4, 6)) and got[5].count("a") == 20_000
