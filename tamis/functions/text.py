@@ -5,6 +5,7 @@ They stay in the JVM, but for texts with letters that no table of single letters
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import cache
@@ -15,8 +16,13 @@ from pyspark.sql import functions as F
 
 from tamis.functions.wordlists import CONTRACTIONS, STOP_WORDS
 
-# Unicode white space, and the four ASCII separators that text tools also split at.
-_BLANK = r"(?U)[\s\x1C-\x1F]+"
+# Unicode white space, and the four ASCII separators that text tools also split at. Listed behind a range that
+# printable ASCII is not in, because a class of properties or of many ranges takes long for every character.
+_OTHER_BLANKS = r"\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_ANY_BLANK = rf"[\x00-\x20\x{{7F}}-\x{{10FFFF}}&&[\x20{_OTHER_BLANKS}]]"
+_OTHER_BLANK = rf"[\x00-\x1F\x{{7F}}-\x{{10FFFF}}&&[{_OTHER_BLANKS}]]"
+# Every run but a single blank, which a blank would replace.
+_BLANK = rf"{_OTHER_BLANK}{_ANY_BLANK}*+|\x20{_ANY_BLANK}++"
 _NOT_BLANK = r"(?U)[^\s\x1C-\x1F]+"
 # Marks that become tokens of their own wherever they stand.
 _PUNCTUATION = r"""([,;:@#$%&?!"()\[\]{}<>`«»“”„‘’]|--|\.\.\.)"""
@@ -43,6 +49,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_NOT_BLANK)).cast("bigint")
 
 
+def _inside_stretches(pattern: str) -> bool:
+    """Whether all that a pattern matches has an apostrophe and no blank: letters, groups of them and ``\\b``."""
+    plain = pattern.removeprefix("(?i)").replace(r"\b", "").replace("[a-z]+", "a")
+    outside = re.sub(r"\([A-Za-z|']*\)", "", plain)
+    return bool(re.fullmatch(r"[A-Za-z']*", outside)) and "'" in outside
+
+
 def expand_contractions(
     text: Column,
     rules: Sequence[tuple[str, str]] = CONTRACTIONS,
@@ -54,9 +67,18 @@ def expand_contractions(
     order; texts without an apostrophe skip the whole chain. ``source`` may name the column that
     ``text`` was made from, to look for the apostrophe there.
     """
+    def expand(opened: Column, rules: Sequence[tuple[str, str]]) -> Column:
+        for pattern, expansion in rules:
+            opened = F.regexp_replace(opened, pattern, expansion)
+        return opened
+
     opened = F.regexp_replace(text, r"[^\x00-\x7F]+", "")
-    for pattern, expansion in rules:
-        opened = F.regexp_replace(opened, pattern, expansion)
+    # The first rules that can only match inside a stretch with an apostrophe need no other.
+    inside = next((i for i, (pattern, _) in enumerate(rules) if not _inside_stretches(pattern)), len(rules))
+    if inside:
+        said = lambda w: F.when(F.contains(w, F.lit("'")), expand(w, rules[:inside])).otherwise(w)
+        opened = F.array_join(F.transform(F.split(opened, " "), said), " ")
+    opened = expand(opened, rules[inside:])
     apostrophe = F.contains(text if source is None else source, F.lit("'"))
     return F.when(apostrophe, opened).otherwise(text)
 
@@ -105,7 +127,7 @@ def _folded(text: str, compatibility: bool) -> str:
 @cache
 def _folding(compatibility: bool) -> tuple[str, str, str]:
     """What ``translate`` replaces and by what, characters to delete last, and a regular expression class of
-    the characters that it cannot fold."""
+    the characters that it cannot fold, behind one range that tells ASCII apart: it has some forty ranges."""
     single, gone, others = [], [], []
     for code in (c for part in _TABLE for c in part):
         folded = _folded(chr(code), compatibility)
@@ -115,13 +137,14 @@ def _folding(compatibility: bool) -> tuple[str, str, str]:
             (single if folded else gone).append((chr(code), folded))
     others += [(a.stop, b.start - 1) for a, b in zip(_TABLE, _TABLE[1:])] + [(_TABLE[-1].stop, 0x10FFFF)]
     ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in others)
-    return "".join(c for c, _ in single + gone), "".join(f for _, f in single), f"[{ranges}]"
+    return "".join(c for c, _ in single + gone), "".join(f for _, f in single), rf"[\x{{80}}-\x{{10FFFF}}&&[{ranges}]]"
 
 
-def _fold(text: Column, compatibility: bool) -> Column:
+def _fold(text: Column, compatibility: bool, source: Column | None = None) -> Column:
     """``_folded`` of a lower-cased text: a table for Latin, Greek and Cyrillic letters, inside the JVM, and a
     function over batches for texts with any other character that changes. Both give the same for
-    the same text, so filters move below and plans may compute either again.
+    the same text, so filters move below and plans may compute either again. ``source`` may name a lower-cased
+    text that has every character of ``text`` beyond ASCII: looking for others there spares making ``text`` twice.
     """
 
     @F.arrow_udf("string")
@@ -129,13 +152,14 @@ def _fold(text: Column, compatibility: bool) -> Column:
         return pa.array([t if t is None else _folded(t, compatibility) for t in texts.to_pylist()], pa.string())
 
     matched, replaced, others = _folding(compatibility)
-    elsewhere = fold(F.when(text.rlike(others), text))
+    elsewhere = fold(F.when((text if source is None else source).rlike(others), text))
     return F.coalesce(elsewhere, F.translate(text, matched, replaced))
 
 
-def fold_case_and_accents(text: Column) -> Column:
-    """Lower case, compatibility decomposition, combining characters dropped."""
-    return _fold(F.lower(text), True)
+def fold_case_and_accents(text: Column, source: Column | None = None) -> Column:
+    """Lower case, compatibility decomposition, combining characters dropped. ``source`` may name the column that
+    ``text`` was made from without adding any character beyond ASCII."""
+    return _fold(F.lower(text), True, None if source is None else F.lower(source))
 
 
 def normalize_tokens(tokens: Column) -> Column:
@@ -177,7 +201,7 @@ def clean_tokens(
     """
     opened = expand_contractions(collapse_blanks(text), contractions, text)
     parted = _part_punctuation(opened, text, abbreviations)
-    lines = fold_case_and_accents(F.replace(parted, F.lit(" "), F.lit("\n")))
+    lines = fold_case_and_accents(F.replace(parted, F.lit(" "), F.lit("\n")), text)
     tokens = F.regexp_extract_all(lines, F.lit(_LETTER_LINE), F.lit(0))
     return drop_words(tokens, stop_words) if stop_words else tokens
 

@@ -145,3 +145,36 @@ def test_chain_runs_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert [r.tokens for r in spark.table("cleaned").collect()] == [["caf"]]
+
+
+def test_contractions_by_stretch_are_those_of_the_whole_text(spark):
+    rules = [*t.CONTRACTIONS, (r"(?i)\b(y)'all\b", "$1ou"), (r"do n't", "don't")]
+    said = ["", "'", " ' ", "Can't  won't\tshan't", "'ain't 'can't", "o'clock'", "\u00e9'cl\u00e9ock o'cl\u00e9ock", "tbh it's TBH",
+            "rock'n'roll isn't-it they'll've", "do n't", " he's  she's\n'tis ", "y'all'd", "'\u00a0'cause", "no mark tbh", None]
+    df = spark.createDataFrame([(x,) for x in said], "text string")
+    for some in (t.CONTRACTIONS, rules, rules[-2:], []):
+        whole = F.regexp_replace("text", r"[^\x00-\x7F]+", "")
+        for pattern, expansion in some:
+            whole = F.regexp_replace(whole, pattern, expansion)
+        whole = F.when(F.contains("text", F.lit("'")), whole).otherwise(F.col("text"))
+        for r in df.select(t.expand_contractions(F.col("text"), some).alias("got"), whole.alias("want")).collect():
+            assert r["got"] == r["want"]
+    assert [t._inside_stretches(p) for p, _ in rules] == [True] * 18 + [False, False, True, False]
+
+
+def test_every_run_of_blanks_collapses(spark):
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    said = [b + "a" + b + b + "c" + b + " d " + b for b in blanks] + ["", " ", "  ", "a b", "\u200b a"]
+    df = spark.createDataFrame([(x,) for x in said], "text string")
+    got = [r[0] for r in df.select(t.collapse_blanks(F.col("text"))).collect()]
+    assert got == [" ".join(x.split()) for x in said]
+
+
+def test_cleaning_makes_its_lines_once(spark):
+    df = spark.createDataFrame([("It's \ufb01ne, \ud55c\uad6d \u017eena",), ("\u2460 caf\u00e9's",)], "text string")
+    cleaned = df.select(t.clean_tokens(F.col("text"), stop_words=None).alias("tokens"))
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    # The function over batches looks at the text itself; the chain before was there once more to look at.
+    assert "RLIKE(lower(text" in plan
+    steps = t.keep_alphabetic(t.normalize_tokens(t.word_tokens(t.expand_contractions(t.collapse_blanks(F.col("text"))))))
+    assert [r[0] for r in cleaned.collect()] == [r[0] for r in df.select(steps).collect()]
