@@ -20,7 +20,8 @@ def j1_kept_tokens(spark, path):
     """Places of kept tokens per document: the count of each token looked up by key."""
     docs = tokenized(spark, path)
     freq = corpus.token_frequencies(docs).where(F.col("n") >= 5)
-    counts = tfidf.term_counts(docs, "tokens", "doc_id").withColumnRenamed("term", "token")
+    counted = write_through(tfidf.counted(docs, "tokens", "doc_id"), "counts")
+    counts = tfidf.exploded(counted, "doc_id").withColumnRenamed("term", "token")
     kept = corpus.with_table(counts, freq, "token")
     return kept.groupBy("doc_id").agg(
         F.sum("tf").alias("places"), F.sum(F.col("tf") * F.col("n")).alias("corpus_count")

@@ -14,11 +14,11 @@ from tamis.operators.ranking import row_number
 from tamis.sources.store import write_through
 
 
-def term_counts(docs: DataFrame, terms: str, *keep: str) -> DataFrame:
-    """``(keep..., term, tf)`` with one row per document and term.
+def counted(docs: DataFrame, terms: str, *keep: str) -> DataFrame:
+    """``(keep..., counts)`` with one row per document, ``counts`` its terms as ``(term, tf)``.
 
-    Terms are counted inside the row, as runs of the sorted array, so counting needs no shuffle and
-    a term contributes at most one row per document from here on.
+    Terms are counted inside the row, as runs of the sorted array, so counting needs no shuffle. What
+    reads the counts several times should write them: sorting costs more than reading.
     """
     counts_sorted = docs.select(*keep, F.sort_array(terms).alias("_sorted"))
     starts = F.filter(
@@ -34,10 +34,18 @@ def term_counts(docs: DataFrame, terms: str, *keep: str) -> DataFrame:
             (F.coalesce(F.get("_starts", j + 1), F.size("_sorted")) - s).alias("tf"),
         ),
     )
-    exploded = counts_sorted.withColumn("_starts", starts).select(
-        *keep, F.explode_outer(runs).alias("_run")
-    )
-    return exploded.where(F.col("_run").isNotNull()).select(*keep, "_run.term", "_run.tf")
+    return counts_sorted.withColumn("_starts", starts).select(*keep, runs.alias("counts"))
+
+
+def exploded(counts: DataFrame, *keep: str) -> DataFrame:
+    """``(keep..., term, tf)`` with one row per document and term, from ``counted`` documents."""
+    each = counts.select(*keep, F.explode_outer("counts").alias("_run"))
+    return each.where(F.col("_run").isNotNull()).select(*keep, "_run.term", "_run.tf")
+
+
+def term_counts(docs: DataFrame, terms: str, *keep: str) -> DataFrame:
+    """``(keep..., term, tf)``: a term contributes at most one row per document from here on."""
+    return exploded(counted(docs, terms, *keep), *keep)
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -75,8 +83,9 @@ def corpus_tfidf(terms: DataFrame) -> DataFrame:
     Terms of a single document are the bulk of any n-gram vocabulary and share one idf, so only
     terms of two documents or more are joined; for all others the idf follows from their absence.
     """
-    counts = term_counts(terms, "terms", "doc_id", "label")
-    n = terms.agg(F.count("*")).scalar()
+    held = write_through(counted(terms, "terms", "doc_id", "label"), "counts")
+    counts = exploded(held, "doc_id", "label")
+    n = held.agg(F.count("*")).scalar()
     shared = document_frequencies(counts).where(F.col("df") > 1)
     idf = smooth_idf(F.coalesce("df", F.lit(1)), n)
     weighted = counts.join(shared, "term", "left").select(
@@ -92,17 +101,17 @@ def mean_tfidf_per_label(terms: DataFrame) -> DataFrame:
     with frequent terms' idfs looked up in a bounded broadcast and only the other terms shuffled.
     Documents, one row each, get their length, and what is shuffled then are sums per label and term.
     """
-    held = write_through(terms.select("doc_id", "label", "terms"), "terms")
+    held = write_through(counted(terms, "terms", "doc_id", "label"), "counts")
     posts = held.groupBy("label").agg(F.count("*").alias("_posts"))
     n = held.agg(F.count("*")).scalar()
-    counts = term_counts(held, "terms", "doc_id")
+    counts = exploded(held, "doc_id")
     # Terms of a single document are the bulk of any n-gram vocabulary and share one idf.
     shared = write_through(document_frequencies(counts).where(F.col("df") > 1), "shared-terms")
     idf = smooth_idf(F.coalesce("df", F.lit(1)), n)
     square = F.pow(F.col("tf") * idf, F.lit(2))
     squares = with_table(counts, shared, "term", how="left").groupBy("doc_id").agg(F.sqrt(F.sum(square)).alias("_norm"))
     normed = held.join(squares, "doc_id")
-    parts = term_counts(normed, "terms", "label", "_norm").groupBy("label", "term")
+    parts = exploded(normed, "label", "_norm").groupBy("label", "term")
     sums = parts.agg(F.sum(F.col("tf") / F.col("_norm")).alias("_sum"))
     return sums.join(shared, "term", "left").join(posts, sums["label"].eqNullSafe(posts["label"])).select(
         sums["label"], "term", (F.col("_sum") * idf / F.col("_posts")).alias("weight")
@@ -168,7 +177,7 @@ def fold_weights(
     ``vocabulary`` are passed on.
     """
     grams = docs.select("doc_id", "fold", ngrams(F.col("tokens"), 1, longest).alias("terms"))
-    counts = term_counts(grams, "terms", "doc_id", "fold")
+    counts = exploded(write_through(counted(grams, "terms", "doc_id", "fold"), "counts"), "doc_id", "fold")
     if vocabulary is None:
         vocabulary = fold_vocabulary(counts, docs, k, min_df, max_df)
     extra = [c for c in vocabulary.columns if c not in ("term", "fits")]

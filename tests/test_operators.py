@@ -405,3 +405,11 @@ def test_fold_tfidf_is_fitted_on_train_rows(spark):
 def test_indexed_vocabulary_is_dense(spark):
     vocabulary = spark.createDataFrame([(f"t{i}",) for i in range(300)], "term string")
     assert sorted(r.idx for r in tfidf.indexed_vocabulary(vocabulary).collect()) == list(range(300))
+
+
+def test_weights_read_counts_that_were_made_once(spark):
+    docs = spark.createDataFrame([(1, "x", ["a", "b", "a"]), (2, "y", ["b"]), (3, None, None), (None, "x", [])], "doc_id long, label string, terms array<string>")
+    for weights in (tfidf.corpus_tfidf(docs), tfidf.mean_tfidf_per_label(docs)):
+        assert "sort_array" not in weights._jdf.queryExecution().executedPlan().toString()
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in tfidf.term_counts(docs, "terms", "doc_id").collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (2, "b"): 1}
