@@ -94,6 +94,41 @@ def corpus_tfidf(terms: DataFrame) -> DataFrame:
     return unit_weights(weighted, "doc_id")
 
 
+# Terms that make up at least 1/_FREQUENT of the rows of documents and shared terms: there can be no more than
+# _FREQUENT of them, and in a vocabulary as texts have it there are some twentieths of that.
+_FREQUENT = 1_000_000
+# Such a bound for the terms that the least weight of a label's top is found by.
+_SEEDS = 20_000
+
+
+def _shared_terms(terms: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """The counts of the documents and the document frequencies of terms of two documents or more, both written,
+    and the idf by a column ``df``, null for terms of a single document: those are the bulk of any n-gram
+    vocabulary and share one."""
+    held = write_through(counted(terms, "terms", "doc_id", "label"), "counts", compression="zstd")
+    n = held.agg(F.count("*")).scalar()
+    shared = write_through(document_frequencies(exploded(held)).where(F.col("df") > 1), "shared-terms")
+    return held, shared, smooth_idf(F.coalesce("df", F.lit(1)), n)
+
+
+def _most_frequent(shared: DataFrame, share: int) -> DataFrame:
+    return shared.where(F.col("df") >= shared.agg(F.sum("df") / share).scalar())
+
+
+def _lengths(held: DataFrame, shared: DataFrame, idf: Column) -> DataFrame:
+    """``(doc_id, _norm)``: frequent terms' idfs are looked up in a bounded broadcast, the rows of the other terms
+    meet theirs in a shuffle, and what leaves both are sums of squares."""
+    split = exploded(held, "doc_id").join(F.broadcast(_most_frequent(shared, _FREQUENT)), "term", "left")
+    rest = split.where(F.col("df").isNull()).drop("df").join(shared, "term", "left")
+    square = F.pow(F.col("tf") * idf, F.lit(2)).alias("_square")
+    squares = split.where(F.col("df").isNotNull()).select("doc_id", square).unionByName(rest.select("doc_id", square))
+    return squares.groupBy("doc_id").agg(F.sqrt(F.sum("_square")).alias("_norm"))
+
+
+def _posts(held: DataFrame) -> DataFrame:
+    return held.groupBy("label").agg(F.count("*").alias("_posts"))
+
+
 def mean_tfidf_per_label(terms: DataFrame) -> DataFrame:
     """``(label, term, weight)``: mean over all documents of the label, absent terms count as 0.
 
@@ -101,16 +136,9 @@ def mean_tfidf_per_label(terms: DataFrame) -> DataFrame:
     with frequent terms' idfs looked up in a bounded broadcast and only the other terms shuffled.
     Documents, one row each, get their length, and what is shuffled then are sums per label and term.
     """
-    held = write_through(counted(terms, "terms", "doc_id", "label"), "counts")
-    posts = held.groupBy("label").agg(F.count("*").alias("_posts"))
-    n = held.agg(F.count("*")).scalar()
-    counts = exploded(held, "doc_id")
-    # Terms of a single document are the bulk of any n-gram vocabulary and share one idf.
-    shared = write_through(document_frequencies(counts).where(F.col("df") > 1), "shared-terms")
-    idf = smooth_idf(F.coalesce("df", F.lit(1)), n)
-    square = F.pow(F.col("tf") * idf, F.lit(2))
-    squares = with_table(counts, shared, "term", how="left").groupBy("doc_id").agg(F.sqrt(F.sum(square)).alias("_norm"))
-    normed = held.join(squares, "doc_id")
+    held, shared, idf = _shared_terms(terms)
+    posts = _posts(held)
+    normed = held.join(_lengths(held, shared, idf), "doc_id")
     parts = exploded(normed, "label", "_norm").groupBy("label", "term")
     sums = parts.agg(F.sum(F.col("tf") / F.col("_norm")).alias("_sum"))
     return sums.join(shared, "term", "left").join(posts, sums["label"].eqNullSafe(posts["label"])).select(
@@ -130,9 +158,40 @@ def top_of_label(weights: DataFrame, n: int) -> DataFrame:
 def top_terms_per_label(
     docs: DataFrame, n: int = 50, stop_words: Sequence[str] = STOP_WORDS, longest: int = 2
 ) -> DataFrame:
-    """Top TF-IDF words and bigrams of each label."""
-    means = mean_tfidf_per_label(profile_terms(docs, stop_words, longest))
-    return top_of_label(means.withColumn("weight", F.round("weight", 6)), n)
+    """Top TF-IDF words and bigrams of each label, by mean weights (``mean_tfidf_per_label``) of six digits.
+
+    In no document a term's weight exceeds 1, so its mean is at most its document frequency by the posts
+    of the label. What the most frequent terms weigh gives a least weight of each label's top, and
+    only terms frequent enough for it are summed up: for most of the vocabulary document frequencies are all that is
+    shuffled. Labels of which the frequent terms fill no top have all their terms summed up.
+    """
+    held, shared, idf = _shared_terms(profile_terms(docs, stop_words, longest))
+    posts = _posts(held)
+    lengths = write_through(_lengths(held, shared, idf), "lengths")
+
+    def weights(rows: DataFrame) -> DataFrame:
+        parts = rows.join(lengths, "doc_id").groupBy("label", "term")
+        sums = parts.agg(F.sum(F.col("tf") / F.col("_norm")).alias("_sum"), F.max("df").alias("df"))
+        return sums.join(posts, sums["label"].eqNullSafe(posts["label"])).select(
+            sums["label"], "term", "_posts", F.round(F.col("_sum") * idf / F.col("_posts"), 6).alias("weight")
+        )
+
+    seeds = exploded(held, "doc_id", "label").join(F.broadcast(_most_frequent(shared, _SEEDS)), "term")
+    tops = top_of_label(weights(seeds), n).groupBy("label")
+    known = tops.agg(F.count("*").alias("_n"), F.min("weight").alias("_least"), F.first("_posts").alias("_posts"))
+    # What is below by more than the rounding is below after it. Written, as candidates are: what is small is broadcast.
+    needed = F.when(F.col("_n") >= n, (F.col("_least") - 1e-6) * F.col("_posts"))
+    needs = write_through(known.select("label", needed.alias("_need")).where(F.col("_need") > 1), "needs")
+    candidates = shared.where(F.col("df") >= needs.agg(F.min("_need")).scalar())
+    candidates = write_through(candidates, "candidates")
+    need = needs.withColumnRenamed("label", "_label")
+    of_label = F.col("label").eqNullSafe(F.col("_label"))
+    rows = exploded(held.join(need, of_label).drop("_label"), "doc_id", "label", "_need")
+    rows = rows.join(candidates, "term").where(F.col("df") >= F.col("_need")).drop("_need")
+    if not posts.join(need, of_label, "left_anti").isEmpty():
+        others = held.join(need, of_label, "left_anti")
+        rows = rows.unionByName(exploded(others, "doc_id", "label").join(shared, "term", "left"))
+    return top_of_label(weights(rows).drop("_posts"), n)
 
 
 def fold_vocabulary(

@@ -80,14 +80,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tamis-{name}-{uuid.uuid4().hex}"
 
 
-def write_through(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def write_through(df: DataFrame, name: str, *partition_by: str, compression: str | None = None) -> DataFrame:
     """Write a table that several jobs read, and read it back.
 
     Cuts the lineage, survives lost executors, and gives later plans a measured size.
     """
     path = scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

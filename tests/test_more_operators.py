@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tamis.functions import text as t
+from tamis.functions.text import adjacent_pairs, collapse_blanks
 from tamis.functions.wordlists import NOUN_ENDINGS
 from tamis.operators import corpus, masking, splits, tfidf
 
@@ -276,3 +277,29 @@ def test_pair_scores_in_another_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, at long, tokens array<string>")
     got = {(r["w1"], r["w2"]) for r in corpus.pair_counts(docs, True, "at").collect()}
     assert {(f"u{i + 1}", f"t{i}") for i in range(29)} <= got
+
+
+def test_top_terms_sum_up_only_what_may_be_in_the_top(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        label = rng.choice(["a", "a", "b", None])
+        words = [f"w{int(rng.paretovariate(0.5)) % 60}" for _ in range(rng.randrange(30))] + [f"{label}x{rng.randrange(2000)}" for _ in range(20)]
+        rows.append((i if i % 50 else 7, label, " ".join(words)))
+    rows += [(1000, "rare", "one two three three"), (1001, "none", ""), (1002, "null", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, label string, text string")
+    monkeypatch.setattr(tfidf, "_SEEDS", 200)
+    sizes, write = {}, tfidf.write_through
+
+    def noted(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tfidf, "write_through", noted)
+    for n in (3, 5, 400):
+        means = tfidf.mean_tfidf_per_label(tfidf.profile_terms(docs)).withColumn("weight", F.round("weight", 6))
+        want = sorted(map(repr, tfidf.top_of_label(means, n).collect()))
+        assert sorted(map(repr, tfidf.top_terms_per_label(docs, n).select("label", "term", "weight", "rank").collect())) == want
+        if n == 3:
+            assert 0 < sizes["needs"] and sizes["candidates"] < sizes["shared-terms"] / 5
