@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tamis.functions.text import collapse_blanks
 from tamis.functions.wordlists import TEXT_RULES, TOKEN_RULES
 from tamis.operators.corpus import remove_tokens, token_sets
+from tamis.sources.store import write_through
 
 PLACE_LEVEL = 4
 
@@ -85,6 +86,23 @@ def mask(
     return masked
 
 
+def _guard(patterns: Sequence[str]) -> str:
+    """What is cheap to see before ``\\b`` and one of ``patterns``: no letter, then one of their first letters.
+
+    Empty if a pattern may begin otherwise. All it rules out are places that are no word border or where no
+    pattern begins, but Unicode word borders take long at every character.
+    """
+    letters = set()
+    for pattern in patterns:
+        plain = re.sub(r"\([^()]*\)", "", pattern)
+        odd = re.search(r"\(\?[^:]|\\[()QE]|\[[^\]]*[()]", pattern) or "|" in plain
+        begins = re.match(r"(?:\(\?:([A-Za-z])(?![?*+{])[^()|]*\)\?)?([A-Za-z])(?![?*+{])", pattern)
+        if odd or not begins:
+            return ""
+        letters.update(filter(None, begins.groups()))
+    return f"(?<![A-Za-z])(?=[{''.join(sorted(letters))}])" if letters else ""
+
+
 def mask_text(
     text: Column,
     level: int,
@@ -103,7 +121,7 @@ def mask_text(
         out = F.regexp_replace(out, f"(?U){pattern}", "")
     for at in sorted(rules):
         if at <= level:
-            out = F.regexp_replace(out, rf"(?U)\b(?:{'|'.join(rules[at])})\b", "")
+            out = F.regexp_replace(out, rf"(?U){_guard(rules[at])}\b(?:{'|'.join(rules[at])})\b", "")
     out = collapse_blanks(out)
     if level >= PLACE_LEVEL:
         lowered = [n.lower() for n in names]
@@ -124,5 +142,6 @@ def mask_texts(
     out = docs.withColumn("text", mask_text(F.col("text"), rules, rules=TEXT_RULES[rule_set]))
     if level < PLACE_LEVEL:
         return out
-    split = out.withColumn("tokens", F.split("text", " "))
+    # Written: the masks take long, and both the look-up and the documents need them.
+    split = write_through(out, "masked").withColumn("tokens", F.split("text", " "))
     return mask_places(split, names).withColumn("text", F.array_join("tokens", " ")).select(*docs.columns)

@@ -279,6 +279,27 @@ def test_pair_scores_in_another_order(spark):
     assert {(f"u{i + 1}", f"t{i}") for i in range(29)} <= got
 
 
+def test_masks_are_seen_before_word_borders(spark):
+    """What may begin a rule is looked for first; rules that begin otherwise keep their plain form."""
+    assert masking._guard(["(?:joe )?biden", r"far[-\s]?(?:left|right)", "ICE"]) == "(?<![A-Za-z])(?=[Ibfj])"
+    for odd in ("a?b", "a|b", "(?i)a", r"\w+", "[ab]c", "(?:a|b)c", "(?:a?b )?c", "", r"a\(b|c\)d", "a[(]b|c[)]d"):
+        assert masking._guard(["x", odd]) == "" and masking._guard([]) == ""
+    texts = ["élib lib lib\u0301 _lib 1lib lib1 lib-lib (lib)", "xjoe biden joe bidenx joe biden", "éjoe biden", "far-left farleft a far left ICE ice"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    rules = {1: ["lib", r"far[-\s]?(?:left|right)"], 2: ["(?:joe )?biden", "ICE"]}
+    plain = F.col("text")
+    for at in (1, 2):
+        plain = F.regexp_replace(plain, rf"(?U)\b(?:{'|'.join(rules[at])})\b", "")
+    rows = df.select(masking.mask_text(F.col("text"), 3, rules=rules).alias("got"), collapse_blanks(plain).alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and rows[0].got != texts[0]
+
+
+def test_masks_are_made_once(spark):
+    df = spark.createDataFrame([(1, "liberal paris may")], "doc_id long, text string")
+    names = masking.gazetteer(spark.createDataFrame([("Paris",)], "n string"))
+    assert "regexp_replace" not in plan_of(masking.mask_texts(df, 4, names))
+
+
 def test_top_terms_sum_up_only_what_may_be_in_the_top(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
