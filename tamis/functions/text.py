@@ -227,8 +227,10 @@ def ngrams(tokens: Column, shortest: int = 1, longest: int = 1) -> Column:
 
 def adjacent_pairs(tokens: Column) -> Column:
     """Neighbouring tokens as ``(w1, w2)`` structs; none for fewer than two tokens."""
-    paired = F.transform(tokens, lambda t, i: F.struct(t.alias("w1"), F.get(tokens, i + 1).alias("w2")))
-    return F.slice(paired, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    count = F.greatest(F.size(tokens) - 1, F.lit(0))
+    # Two shifted slices in compiled code: a function of every token would be interpreted.
+    firsts, seconds = (F.slice(tokens, F.lit(at), count) for at in (1, 2))
+    return F.arrays_zip(firsts.alias("w1"), seconds.alias("w2"))
 
 
 def argmax(scores: Column) -> Column:

@@ -130,6 +130,8 @@ def boundary_pairs(docs: DataFrame, order: str = "doc_id", ranges: int | None =
         .select("_at", "_ends.*")
         .where(F.col("_first").isNotNull())
     )
+    # Written before: sampling for the cuts and the shuffle would make the tokens once each.
+    ends = write_through(ends, "ends")
     cut = ends.repartitionByRange(*([ranges] if ranges else []), "_at")
     # Written, because the cuts are those of this one shuffle.
     ranged = write_through(cut.withColumn("_range", F.spark_partition_id()), "ranges")
@@ -145,17 +147,21 @@ def boundary_pairs(docs: DataFrame, order: str = "doc_id", ranges: int | None =
     ).where(F.col("w2").isNotNull())
 
 
+def _neighbours(docs: DataFrame, tokens: Column) -> DataFrame:
+    return (
+        docs.select(adjacent_pairs(tokens).alias("_pairs"))
+        .select(F.explode_outer("_pairs").alias("_pair"))
+        .where(F.col("_pair").isNotNull())
+        .select("_pair.w1", "_pair.w2")
+    )
+
+
 def pair_counts(docs: DataFrame, cross_document: bool = False, order: str = "doc_id") -> DataFrame:
     """``(w1, w2, n)`` for neighbouring tokens, within documents unless asked otherwise.
 
     Across documents the corpus is read in the order of the column ``order``.
     """
-    pairs = (
-        docs.select(adjacent_pairs(F.col("tokens")).alias("_pairs"))
-        .select(F.explode_outer("_pairs").alias("_pair"))
-        .where(F.col("_pair").isNotNull())
-        .select("_pair.w1", "_pair.w2")
-    )
+    pairs = _neighbours(docs, F.col("tokens"))
     if cross_document:
         pairs = pairs.unionByName(boundary_pairs(docs, order))
     return pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"))
@@ -166,9 +172,18 @@ def pair_scores(docs: DataFrame, min_freq: int = 5, cross_document: bool = False
 
     The cut comes before the joins, so they see only the surviving pairs.
     """
-    freq = write_through(token_frequencies(docs), "frequencies")
+    # Every token is first of one pair, the last of a document with null: one pass gives pairs and frequencies.
+    ended = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    pairs = _neighbours(docs, ended).withColumn("_inside", F.lit(1))
+    if cross_document:
+        pairs = pairs.unionByName(boundary_pairs(docs).withColumn("_inside", F.lit(0)))
+    pairs = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.sum("_inside").alias("_inside"))
+    pairs = write_through(pairs, "all-pairs", compression="zstd")
+    freq = pairs.where("w1 is not null").groupBy(F.col("w1").alias("token")).agg(F.sum("_inside").alias("n"))
+    freq = write_through(freq, "frequencies")
     total = freq.agg(F.sum("n")).scalar()
-    pairs = write_through(pair_counts(docs, cross_document).where(F.col("n") >= min_freq), "pairs")
+    seen = (F.col("n") >= min_freq) & F.col("w2").isNotNull()
+    pairs = write_through(pairs.where(seen).select("w1", "w2", "n"), "pairs")
     # Words of very many pairs are looked up, so that none meets in one task.
     first = freq.select(F.col("token").alias("w1"), F.col("n").alias("_n1"))
     second = freq.select(F.col("token").alias("w2"), F.col("n").alias("_n2"))

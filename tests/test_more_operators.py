@@ -300,6 +300,24 @@ def test_masks_are_made_once(spark):
     assert "regexp_replace" not in plan_of(masking.mask_texts(df, 4, names))
 
 
+def test_adjacent_pairs_are_compiled(spark):
+    df = spark.createDataFrame([(["a", None, "c"],), (["a"],), ([],), (None,)], "t array<string>")
+    pairs = df.select(adjacent_pairs(F.col("t")).alias("p"))
+    assert [r.p and [tuple(x) for x in r.p] for r in pairs.collect()] == [[("a", None), (None, "c")], [], [], None]
+    assert pairs.schema["p"].dataType.elementType.names == ["w1", "w2"]
+    assert "lambda" not in plan_of(pairs)
+
+
+def test_ends_for_pairs_across_documents_are_made_once(spark, monkeypatch):
+    """Sampling for ranges and the shuffle read the written ends, not the documents."""
+    read = []
+    write = corpus.write_through
+    monkeypatch.setattr(corpus, "write_through", lambda df, name, *a, **b: read.append((name, "tokens" in plan_of(df))) or write(df, name, *a, **b))
+    docs = spark.createDataFrame([(i, [f"a{i}", f"b{i}"]) for i in range(20)], "doc_id long, tokens array<string>")
+    assert corpus.boundary_pairs(docs).count() == 19
+    assert read == [("ends", True), ("ranges", False)]
+
+
 def test_top_terms_sum_up_only_what_may_be_in_the_top(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
@@ -324,3 +342,15 @@ def test_top_terms_sum_up_only_what_may_be_in_the_top(spark, monkeypatch):
         assert sorted(map(repr, tfidf.top_terms_per_label(docs, n).select("label", "term", "weight", "rank").collect())) == want
         if n == 3:
             assert 0 < sizes["needs"] and sizes["candidates"] < sizes["shared-terms"] / 5
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_pairs_and_frequencies_come_from_one_pass(spark, monkeypatch, cross):
+    """Nothing written reads the tokens but the pairs and, across documents, the ends."""
+    read, write = [], corpus.write_through
+    monkeypatch.setattr(corpus, "write_through", lambda df, name, *a, **b: read.append((name, "tokens" in plan_of(df))) or write(df, name, *a, **b))
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, []), (3, None), (4, ["a"]), (5, ["b", None, "a"])], "doc_id long, tokens array<string>")
+    got = {(r.w1, r.w2): (r.n, r.pmi) for r in corpus.pair_scores(docs, 1, cross).collect()}
+    pairs = {("a", "b"): 2, ("b", "a"): 1} if not cross else {("a", "b"): 3, ("b", "a"): 2}
+    assert got == {k: (n, pytest.approx(math.log2(n * 7 / 9 if k[0] == k[1] else n * 7 / 12))) for k, n in pairs.items()}
+    assert [name for name, tokens in read if tokens] == (["ends"] if cross else []) + ["all-pairs"]
