@@ -136,6 +136,17 @@ def shingle_set(text: Column, scheme: Scheme) -> Column:
 BAND = 1.02
 
 
+def _looked_up(rows: DataFrame, keyed: DataFrame, key: str, on: Column | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of a written table that has one row per key.
+
+    A plain join, for use where nothing behind it needs the rows of a key together: there adaptive execution splits
+    what a frequent key sends. ``with_table`` also does it elsewhere, but its plans are many times as large, and dozens
+    of them take much of the driver's memory.
+    """
+    marked = rows.withColumn("_key", F.col(key) if on is None else on)
+    return marked.join(keyed.withColumnRenamed(key, "_key"), "_key", how).drop("_key")
+
+
 def _shared(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """``(node, first, second)``: the keys of both groups' collections that some other node has too, for
     nodes that have one in each group."""
@@ -163,7 +174,7 @@ def _rare(sets: DataFrame, scheme: Scheme) -> DataFrame:
     percent = scheme.percent
     held = staged(sets.select("node", F.explode("set").alias("s")), "shingles")
     counts = staged(held.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"), "shared")
-    ordered = with_table(held, counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("o"))
+    ordered = _looked_up(held, counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("o"))
     size = F.size("set")
     known = sets.select("node", "label", size.alias("n")).join(ordered, "node")
     band = lambda x: F.floor(F.log(x) / math.log(BAND) + 1e-9).cast("int")
@@ -209,16 +220,16 @@ def _differing(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     more, less = 100 + scheme.percent, 100 - scheme.percent
     of_head = sets.select(F.col("node").alias("head"), F.col("set").alias("y"))
     held = met.join(sets.select("node", F.col("set").alias("x")), "node")
-    held = with_table(held, of_head, "head")
+    held = _looked_up(held, of_head, "head")
     differing = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     told = staged(held.select("head", "node", "label", "n", F.transform(differing, lambda e: F.xxhash64("head", e)).alias("d")), "told")
     w = more * F.size("d") - less * F.col("n")
     known = told.withColumn("w", w).withColumn("own", F.floor(F.col("w") / (LEVEL * more)))
-    lowest = known.groupBy("head").agg(F.min("own").alias("lowest"))
+    lowest = staged(known.groupBy("head").agg(F.min("own").alias("lowest")), "lowest")
     each = told.select("head", "node", F.explode("d").alias("e"))
     counts = staged(each.groupBy("e").agg(F.count("*").alias("times")).where("times > 1"), "shared")
-    ordered = with_table(each, counts, "e").groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("o"))
-    known = with_table(known, lowest, "head").join(ordered, ["head", "node"])
+    ordered = _looked_up(each, counts, "e").groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("o"))
+    known = _looked_up(known, lowest, "head").join(ordered, ["head", "node"])
     # The level of the lowest partner with which something must be shared.
     least = F.greatest(F.col("lowest"), F.floor(-F.col("w") / (LEVEL * more)))
     levels = F.when(F.col("w") >= 0, F.sequence(least, F.col("own"))).otherwise(F.array("own"))
@@ -280,7 +291,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     found = named.select("identity", "label").join(names, "label")
     found = found.select("identity", "component_id", F.col("best.row_id").alias("first"))
     # Copies of one text are looked up, not gathered in one task.
-    out = with_table(rows, staged(found, "found"), "identity", F.col("_s.identity"), "left")
+    out = _looked_up(rows, staged(found, "found"), "identity", F.col("_s.identity"), "left")
     component = F.when(F.col("_s.n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
@@ -323,15 +334,15 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
         """The labels after the similar ones of some pairs are linked, and how many links were new."""
         links = staged(_compare(pairs, profile, sets, scheme), "links")
         of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
-        ends = with_table(with_table(links, of("a"), "a"), of("b"), "b").where("_a != _b")
+        ends = _looked_up(_looked_up(links, of("a"), "a"), of("b"), "b").where("_a != _b")
         ends = staged(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "ends")
         names = components(ends).select(F.col("node").alias("label"), F.col("label").alias("_new"))
-        named = with_table(labels, names, "label", how="left")
+        named = _looked_up(labels, names, "label", how="left")
         return staged(named.select("node", F.coalesce("_new", "label").alias("label")), "labels"), ends.count()
 
     # Every node with the heads of its buckets.
     labels = staged(shared.select("node", F.col("node").alias("label")), "labels")
-    met = with_table(_tables(shared, "node"), heads, "cell").where("node != head")
+    met = _looked_up(_tables(shared, "node"), heads, "cell").where("node != head")
     labels, _ = joined(labels, staged(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
 
     # What is still apart meets by rare shingles.
@@ -344,8 +355,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
         firsts = staged(_heads(places), "firsts")
         named = places.join(labels, "node")
         head = labels.select(F.col("node").alias("head"), F.col("label").alias("_of_head"))
-        pairs = with_table(named, firsts, "cell").select("node", "head", "label").distinct()
-        pairs = staged(with_table(pairs, head, "head").where("label != _of_head").select(F.col("head").alias("a"), F.col("node").alias("b")), "pairs")
+        pairs = _looked_up(named, firsts, "cell").select("node", "head", "label").distinct()
+        pairs = staged(_looked_up(pairs, head, "head").where("label != _of_head").select(F.col("head").alias("a"), F.col("node").alias("b")), "pairs")
         labels, found = joined(labels, pairs)
         left = staged(_apart(places.join(labels, "node")).drop("label"), "left")
         if left.isEmpty():
@@ -355,9 +366,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
             break
         places = left
     rest = left.join(labels, "node")
-    sizes = rest.groupBy("cell").agg((F.count("*") > FEW).alias("large"))
-    rest = staged(with_table(rest, sizes, "cell").select("cell", "node", "label", "n", "large"), "rest")
+    sizes = staged(rest.groupBy("cell").agg((F.count("*") > FEW).alias("large")), "sizes")
+    rest = staged(_looked_up(rest, sizes, "cell").select("cell", "node", "label", "n", "large"), "rest")
     few = _met(rest.where("not large").withColumn("low", F.lit(True)), scheme)
-    met = with_table(rest.where("large"), firsts, "cell").select("head", "node", "label", "n").distinct()
+    met = _looked_up(rest.where("large"), firsts, "cell").select("head", "node", "label", "n").distinct()
     many = _met(_differing(staged(met, "met"), sets, scheme), scheme)
     return joined(labels, staged(few.unionByName(many).distinct(), "pairs"))[0]

@@ -169,6 +169,13 @@ def heads_of_largest(heads):
     return run
 
 
+def test_the_result_is_one_join_of_written_tables(spark, documents, capsys):
+    """Looking for frequent keys beforehand multiplies the plans that the driver holds."""
+    near_duplicates(documents(*varied(7, [6, 3, 1]))).explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Aggregate" not in plan and "Union" not in plan
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
     out = QUERIES["op7_tensored_minhash"](spark, PATH)
