@@ -13,9 +13,11 @@ frequency of their shingles, and in a band of sizes a pair at the limit has so m
 of them stands in the first few of both. Nodes that meet there are compared with the head of the
 place. Where many of several components are left, they are described by their differences from the
 head: two similar sets differ from it in much the same elements, and again one of the rarest of
-these is in both. So every pair that shares a bucket is compared, is too dissimilar to link, or is
-known to be connected; copies are not expanded into pairs, and most sets that are only nearly
-similar do not meet. Comparisons are made on full sets.
+these is in both. Sets also carry a bitmap of the parities of their hashed elements, and two bitmaps differ
+in no more bits than the sets in elements: joins leave out what differs too much. So every pair that
+shares a bucket is compared, is too dissimilar to link, or is known to be connected; copies are not
+expanded into pairs, and most sets that are only nearly similar do not meet. Comparisons are made
+on full sets.
 """
 
 from __future__ import annotations
@@ -92,24 +94,46 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(rolling)
 
 
+#: Numbers of 64 bits in a set's parities. Sets that differ by many more elements than there are bits are not told apart.
+PARITIES = 8
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """For every hash slot whether an odd number of elements falls in it, as ``PARITIES`` numbers.
+
+    Elements of both sets cancel out, so the parities of two sets differ in at most as many bits as the sets
+    differ by elements.
+    """
+    odd = np.bincount((found % np.uint64(64 * PARITIES)).view(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _within(n_a: str, p_a: str, n_b: str, p_b: str, scheme: Scheme) -> Column:
+    """Whether sets of these sizes and parities may link: those that do differ by at most
+    ``(100 - percent) / (100 + percent)`` of the sum of their sizes."""
+    bits = sum((F.bit_count(F.col(p_a)[i].bitwiseXOR(F.col(p_b)[i])) for i in range(PARITIES)), F.lit(0))
+    return bits * (100 + scheme.percent) <= (F.col(n_a) + F.col(n_b)) * (100 - scheme.percent)
+
+
 def signature(text: Column, scheme: Scheme) -> Column:
-    """``struct(n, identity, keys)``: set size, its 128-bit identity, and the keys of all collections."""
+    """``struct(n, identity, keys, parities)``: set size, its 128-bit identity, the keys of all collections, and parities."""
     rng = np.random.default_rng(scheme.seed)
     count = 2 * scheme.collections * scheme.hashes
     flips = rng.integers(0, 2**64, count, np.uint64)
     factors = rng.integers(0, 2**64, count, np.uint64) | np.uint64(1)
     salts = np.arange(1, 2 * scheme.collections + 1, dtype=np.uint64) * _P3
 
-    @F.arrow_udf("struct<n: bigint, identity: binary, keys: array<bigint>>")
+    @F.arrow_udf("struct<n: bigint, identity: binary, keys: array<bigint>, parities: array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, odd = [], [], [], []
             for text in values(batch):
                 found = shingles(text, scheme.width)
                 sizes.append(len(found))
                 if not len(found):
                     nodes.append(None)
                     keys.append(None)
+                    odd.append(None)
                     continue
                 nodes.append(blake2b(found.tobytes(), digest_size=16).digest())
                 least = np.array([((found ^ f) * m).min() for f, m in zip(flips, factors)], np.uint64)
@@ -117,8 +141,10 @@ def signature(text: Column, scheme: Scheme) -> Column:
                 for part in least.reshape(-1, scheme.hashes).T:
                     key = _mix(key * _P1 + part)
                 keys.append(key.view(np.int64))
-            arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(arrays, ["n", "identity", "keys"])
+                odd.append(parities(found))
+            arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())]
+            arrays += [pa.array(x, pa.list_(pa.int64())) for x in (keys, odd)]
+            yield pa.StructArray.from_arrays(arrays, ["n", "identity", "keys", "parities"])
 
     return run(text)
 
@@ -195,13 +221,17 @@ FEW = 32
 LEVEL = 4
 
 
-def _met(places: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs ``(a, b)`` of ``places(cell, node, label, n, low)`` that share a cell, are of two labels and of
-    sizes that can link, and of which one is ``low``."""
-    one, two = (places.select("cell", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n", "low")]) for end in "ab")
+def _met(places: DataFrame, profile: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs ``(a, b)`` of ``places(cell, node, label, n, low)`` that share a cell, are of two labels, of
+    sizes and parities that can link, and of which one is ``low``."""
+    places = _looked_up(places, profile.select("node", "parities"), "node")
+    columns = ("node", "label", "n", "low", "parities")
+    one, two = (places.select("cell", *[F.col(c).alias(f"{c}_{end}") for c in columns]) for end in "ab")
     near_sizes = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
     once = ~F.col("low_b") | (F.col("node_a") < F.col("node_b"))
-    pairs = one.where("low_a").join(two, "cell").where(near_sizes & once & (F.col("label_a") != F.col("label_b")))
+    apart = F.col("label_a") != F.col("label_b")
+    within = _within("n_a", "parities_a", "n_b", "parities_b", scheme)
+    pairs = one.where("low_a").join(two, "cell").where(near_sizes & once & apart & within)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -246,15 +276,15 @@ def _differing(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
 def _compare(pairs: DataFrame, profile: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """Of the pairs ``(a, b)`` those that are similar enough, by their full sets.
 
-    Pairs whose sizes or keys rule that out are not taken that far.
+    Pairs whose sizes, keys or parities rule that out are not taken that far.
     """
-    one = profile.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("keys").alias("k_a"))
-    two = profile.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("k_b"))
+    of = {"n": "n", "keys": "k", "parities": "p"}
+    one, two = (profile.select(F.col("node").alias(end), *[F.col(c).alias(f"{x}_{end}") for c, x in of.items()]) for end in "ab")
     known = pairs.join(one, "a").join(two, "b")
     close = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
     # By default a pair above the limit has 12 of 20 keys in common on average.
     alike = F.size(F.filter(F.zip_with("k_a", "k_b", lambda x, y: x == y), lambda same: same)) >= scheme.common
-    known = known.where(close & alike).select("a", "b")
+    known = known.where(close & alike & _within("n_a", "p_a", "n_b", "p_b", scheme)).select("a", "b")
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -279,6 +309,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     nodes = slim.groupBy("identity").agg(
         F.first("n").alias("n"),
         F.first("keys").alias("keys"),
+        F.first("parities").alias("parities"),
         F.min(F.struct("doc_id", "text_hash")).alias("where"),
         F.min("doc_id").alias("id"),
         F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_id")).alias("best"),
@@ -318,7 +349,7 @@ def _apart(members: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """``(node, label)`` of all nodes that share a table with another; unlinked ones are their own label."""
-    profile = nodes.select("node", "n", "keys")
+    profile = nodes.select("node", "n", "keys", "parities")
     shared = staged(_shared(nodes, scheme), "keys")
     heads = staged(_heads(_tables(shared, "node")), "heads")
 
@@ -368,7 +399,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     rest = left.join(labels, "node")
     sizes = staged(rest.groupBy("cell").agg((F.count("*") > FEW).alias("large")), "sizes")
     rest = staged(_looked_up(rest, sizes, "cell").select("cell", "node", "label", "n", "large"), "rest")
-    few = _met(rest.where("not large").withColumn("low", F.lit(True)), scheme)
+    few = _met(rest.where("not large").withColumn("low", F.lit(True)), profile, scheme)
     met = _looked_up(rest.where("large"), firsts, "cell").select("head", "node", "label", "n").distinct()
-    many = _met(_differing(staged(met, "met"), sets, scheme), scheme)
+    many = _met(_differing(staged(met, "met"), sets, scheme), profile, scheme)
     return joined(labels, staged(few.unionByName(many).distinct(), "pairs"))[0]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tamis.llm import near
@@ -159,6 +160,31 @@ def test_copies_below_the_limit_do_not_all_meet(spark, documents, monkeypatch):
     assert sum(compared) < 179_700 / 4
 
 
+def test_pairs_that_differ_too_much_are_left_out_by_the_join(spark, documents, monkeypatch):
+    """Of 600 copies hardly more pairs come out of the joins of places than link."""
+    made, met = [], near._met
+
+    def counted(*args):
+        pairs = met(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near, "_met", counted)
+    rows = strayed(8, 600, 150, 4, 8)
+    assert found(near_duplicates(documents(*rows))) == brute(rows)
+    assert sum(made) < 1500
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 30, 400, 5000):
+        one = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        two = np.unique(np.concatenate([one[rng.random(len(one)) < 0.8], rng.integers(0, 2**64, 40, np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (near.parities(one) ^ near.parities(two)).view(np.uint64))
+        assert bits <= len(np.setxor1d(one, two)) and len(near.parities(one)) == near.PARITIES
+        assert not (near.parities(one) ^ near.parities(one)).any()
+
+
 def heads_of_largest(heads):
     """Heads that are the largest nodes instead of the smallest: any head must do."""
     from pyspark.sql import functions as F
