@@ -19,6 +19,8 @@ LEAST_QUALITY = 0.7
 #: Near duplicates have 80 % of their shingles of five words in common. Of pairs at that limit,
 #: ``2 * (1 - 0.8**3)**14``, about 1 in 11,500, share no table.
 NEAR = near.Scheme(width=5, percent=80, collections=14)
+#: Chunks whose ids a worker remembers: workers live on from stage to stage, beside a heap that earlier ones filled.
+REMEMBERED = 100_000
 
 
 def _free_name(docs: DataFrame, name: str) -> str:
@@ -50,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -179,7 +179,7 @@ class TextCoder:
     """Whole texts to ids and back; ``form`` turns the ids of a chunk between spaces into bytes that
     ``glue`` joins to those of a text."""
 
-    def __init__(self, path: str, form, glue: bytes):
+    def __init__(self, path: str, form, glue: bytes, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.trie = TrieEncoder(path)
@@ -187,7 +187,7 @@ class TextCoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
-        self.form, self.glue = form, glue
+        self.form, self.glue, self.remembered = form, glue, remembered
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         letters = _byte_letters()
@@ -195,7 +195,7 @@ class TextCoder:
 
     def _learn(self, new: set[str]) -> None:
         """Make sure that ``chunks`` holds these."""
-        if len(self.chunks) + len(new) > REMEMBERED:
+        if len(self.chunks) + len(new) > (self.remembered or REMEMBERED):
             self.chunks, self.older = {}, self.chunks
         chunks, older = self.chunks, self.older
         words: dict[str, list[str]] = {}
@@ -228,7 +228,7 @@ class TextCoder:
                 seen.update(text.split())
         new = seen.difference(self.chunks)
         if new:
-            self._learn(new if len(self.chunks) + len(new) <= REMEMBERED else seen)
+            self._learn(new if len(self.chunks) + len(new) <= (self.remembered or REMEMBERED) else seen)
         get, out = self.chunks.__getitem__, []
         for text, by_chunk in zip(texts, plain):
             if by_chunk:
@@ -265,9 +265,9 @@ def decimal_coder(path: str) -> TextCoder:
 
 
 @lru_cache(maxsize=4)
-def binary_coder(path: str) -> TextCoder:
+def binary_coder(path: str, remembered: int | None = None) -> TextCoder:
     """One in each worker, kept between tasks."""
-    return TextCoder(path, little_endian, b"")
+    return TextCoder(path, little_endian, b"", remembered)
 
 
 def encode(text: Column, tokenizer: str) -> Column:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import staged, values
+from tamis.llm.common import small_batches, staged, values
 from tamis.llm.components import components
 from tamis.operators.corpus import with_table
 
@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     """
     carried = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select("doc_id", signature(F.col("text"), scheme).alias("_s"), F.xxhash64("text").alias("text_hash"), *carried)
-    rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "signed")
+    with small_batches(docs.sparkSession):
+        rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "signed")
     slim = rows.select("doc_id", "_s.*", "text_hash", "row_id").where("n > 0")
     nodes = slim.groupBy("identity").agg(
         F.first("n").alias("n"),
@@ -359,7 +360,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     same = source["doc_id"].eqNullSafe(where["doc_id"]) & (source["text_hash"] == where["text_hash"])
     # Repeated rows would give a node's set again; the set is the same, so any will do.
     sets = source.join(where, same).select("node", "text").dropDuplicates(["node"])
-    sets = staged(sets.select("node", shingle_set(F.col("text"), scheme).alias("set")), "sets")
+    with small_batches(docs.sparkSession):
+        sets = staged(sets.select("node", shingle_set(F.col("text"), scheme).alias("set")), "sets")
 
     def joined(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
         """The labels after the similar ones of some pairs are linked, and how many links were new."""

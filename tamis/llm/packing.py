@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.bpe import binary_coder
-from tamis.llm.common import staged, values
+from tamis.llm.common import small_batches, staged, values
 
 _FIELDS = ("doc_id bigint", "piece int", "start bigint", "length bigint", "ids_crc32 bigint", "offset bigint")
 _BIN = "used bigint, done boolean, pieces array<struct<%s>>" % ", ".join(f.replace(" ", ":") for f in _FIELDS)
@@ -66,12 +66,13 @@ def _packed(items: list[tuple[int, list]], capacity: int, slack: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([*columns, pa.array(placed, _ARROW)], ["used", "done", "pieces"])
 
 
-def _first_round(tokenizer: str, capacity: int, closing: int, slack: int, most: int) -> Callable:
+def _first_round(tokenizer: str, capacity: int, closing: int, slack: int, most: int, remembered: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, items = binary_coder(tokenizer), []
+        coder, items = binary_coder(tokenizer, remembered), []
+        at_once = {} if remembered is None else {"size": 10 * remembered}
         end, whole = closing.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for doc, tokens in zip(batch.column(0).to_pylist(), coder.encode(values(batch.column(1)))):
+            for doc, tokens in zip(batch.column(0).to_pylist(), coder.encode(values(batch.column(1)), **at_once)):
                 tokens += end
                 for k in range(0, len(tokens), whole):
                     cut = tokens[k : k + whole]
@@ -107,20 +108,24 @@ def pack(
     slack: int = 64,
     fan_in: int = 8,
     most: int = 50_000,
+    remembered: int | None = None,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row per piece.
 
     A document is its ids and then the id ``closing``; one of more than ``capacity`` ids is cut into
     pieces of that length, of which the last may be shorter. A bin with at most ``slack`` places left
-    counts as nearly full. ``fan_in`` partitions of a round meet in one of the next.
+    counts as nearly full. ``fan_in`` partitions of a round meet in one of the next. A worker remembers the
+    ids of ``remembered`` chunks (``bpe.REMEMBERED`` by default), twice as many at most, and encodes ten times
+    as many characters at once: fewer take less of its memory and more time.
 
     Null and empty texts are the closing id alone. Rows that share an id, or have none, are separate
     documents. Ties go to the bin opened last. An empty table gives no rows; other columns are not read.
     """
     first = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        _first_round(tokenizer, capacity, closing, slack, most), _BIN
+        _first_round(tokenizer, capacity, closing, slack, most, remembered), _BIN
     )
-    made = staged(first, "bins")
+    with small_batches(docs.sparkSession):
+        made = staged(first, "bins")
     finished, open_bins = [made.where("done")], made.where(~F.col("done"))
     count = open_bins.count()
     parts = made.rdd.getNumPartitions()
