@@ -221,22 +221,28 @@ FEW = 32
 LEVEL = 4
 
 
-def _met(places: DataFrame, profile: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs ``(a, b)`` of ``places(cell, node, label, n, low)`` that share a cell, are of two labels, of
-    sizes and parities that can link, and of which one is ``low``."""
+def _meeting(places: DataFrame, profile: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs ``(a, b)`` of ``places(cell, node, label, n, low, before)`` that share a cell, are of two labels,
+    of sizes and parities that can link, and of which one is ``low``. ``before`` has cells of the node in which
+    those that it shares with another have met already."""
     places = _looked_up(places, profile.select("node", "parities"), "node")
-    columns = ("node", "label", "n", "low", "parities")
+    columns = ("node", "label", "n", "low", "parities", "before")
     one, two = (places.select("cell", *[F.col(c).alias(f"{c}_{end}") for c in columns]) for end in "ab")
     near_sizes = (F.col("n_a") * 100 >= scheme.percent * F.col("n_b")) & (F.col("n_b") * 100 >= scheme.percent * F.col("n_a"))
     once = ~F.col("low_b") | (F.col("node_a") < F.col("node_b"))
     apart = F.col("label_a") != F.col("label_b")
     within = _within("n_a", "parities_a", "n_b", "parities_b", scheme)
-    pairs = one.where("low_a").join(two, "cell").where(near_sizes & once & apart & within)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    anew = ~F.arrays_overlap("before_a", "before_b")
+    pairs = one.where("low_a").join(two, "cell").where(near_sizes & once & apart & within & anew)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _met(places: DataFrame, profile: DataFrame, scheme: Scheme) -> DataFrame:
+    return _meeting(places, profile, scheme).distinct()
 
 
 def _differing(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """``(cell, node, label, n, low)`` for nodes that have been compared with the same head: places by what
+    """``(cell, node, label, n, low, before)`` for nodes that have been compared with the same head: places by what
     they do not have in common with it.
 
     Sets A and B differ by the elements in which one of them alone differs from the head's. With
@@ -245,7 +251,7 @@ def _differing(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     elements. Pairs that need to share none link to the head both, which is known by now. The others
     share one of the first of their differences by rising frequency, the fewer of them the more they
     must share. In a level of w stand the sets of that level, which are low in it, and those of higher
-    w; each pair meets in the level of its lower w.
+    w; each pair meets in the level of its lower w, and there in the first cell that both have.
     """
     more, less = 100 + scheme.percent, 100 - scheme.percent
     of_head = sets.select(F.col("node").alias("head"), F.col("set").alias("y"))
@@ -270,7 +276,10 @@ def _differing(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     first = F.greatest(F.size("d") - needed + 1 - alone, F.lit(0)).cast("int")
     cells = F.transform(F.slice("o", 1, first), lambda e: F.xxhash64(e["e"], F.col("level")))
     low = (F.col("level") == F.col("own")).alias("low")
-    return known.select(F.explode(cells).alias("cell"), "node", "label", "n", low)
+    known = known.select("node", "label", "n", low, cells.alias("cells"))
+    placed = known.select("*", F.posexplode("cells").alias("pos", "cell"))
+    # All cells of a level come in the same order in every node.
+    return placed.select("cell", "node", "label", "n", "low", F.slice("cells", 1, F.col("pos")).alias("before"))
 
 
 def _compare(pairs: DataFrame, profile: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -401,7 +410,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     rest = left.join(labels, "node")
     sizes = staged(rest.groupBy("cell").agg((F.count("*") > FEW).alias("large")), "sizes")
     rest = staged(_looked_up(rest, sizes, "cell").select("cell", "node", "label", "n", "large"), "rest")
-    few = _met(rest.where("not large").withColumn("low", F.lit(True)), profile, scheme)
+    few = rest.where("not large").withColumn("low", F.lit(True)).withColumn("before", F.array().cast("array<bigint>"))
+    few = _met(few, profile, scheme)
     met = _looked_up(rest.where("large"), firsts, "cell").select("head", "node", "label", "n").distinct()
     many = _met(_differing(staged(met, "met"), sets, scheme), profile, scheme)
     return joined(labels, staged(few.unionByName(many).distinct(), "pairs"))[0]

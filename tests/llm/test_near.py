@@ -175,6 +175,23 @@ def test_pairs_that_differ_too_much_are_left_out_by_the_join(spark, documents, m
     assert sum(made) < 1500
 
 
+def test_pairs_meet_in_one_place_of_their_differences(spark, documents, monkeypatch):
+    """Similar sets share most of their places, which would give each pair many times."""
+    made, meeting = [], near._meeting
+
+    def counted(*args):
+        pairs = meeting(*args)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(near, "_meeting", counted)
+    monkeypatch.setattr(near, "FEW", 1)
+    rows = strayed(6, 120, 150, 2, 6)
+    assert found(near_duplicates(documents(*rows), Scheme(collections=14, hashes=1))) == brute(rows)
+    many, distinct = made[-1]
+    assert many <= 2 * distinct
+
+
 def test_parities_differ_in_no_more_bits_than_sets_in_elements():
     rng = np.random.default_rng(4)
     for size in (0, 1, 30, 400, 5000):
