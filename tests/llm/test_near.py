@@ -175,21 +175,16 @@ def test_pairs_that_differ_too_much_are_left_out_by_the_join(spark, documents, m
     assert sum(made) < 1500
 
 
-def test_pairs_meet_in_one_place_of_their_differences(spark, documents, monkeypatch):
-    """Similar sets share most of their places, which would give each pair many times."""
-    made, meeting = [], near._meeting
-
-    def counted(*args):
-        pairs = meeting(*args)
-        made.append((pairs.count(), pairs.distinct().count()))
-        return pairs
-
-    monkeypatch.setattr(near, "_meeting", counted)
-    monkeypatch.setattr(near, "FEW", 1)
-    rows = strayed(6, 120, 150, 2, 6)
-    assert found(near_duplicates(documents(*rows), Scheme(collections=14, hashes=1))) == brute(rows)
-    many, distinct = made[-1]
-    assert many <= 2 * distinct
+def test_pairs_meet_in_one_place_of_their_differences(spark):
+    """Sets that lack the same ten of the head's elements share nine places; each pair comes once."""
+    held = {0: list(range(100))} | {n: [*range(10, 100), 1000 + n] for n in range(1, 21)}
+    rows = [(n, x, near.parities(np.array(x, np.uint64)).tolist()) for n, x in held.items()]
+    sets = spark.createDataFrame(rows, "node bigint, set array<bigint>, parities array<bigint>")
+    met = spark.createDataFrame([(0, n, n, 91) for n in range(1, 21)], "head bigint, node bigint, label bigint, n bigint")
+    places = near._differing(met, sets, Scheme())
+    assert places.count() > 2 * 20
+    pairs = [tuple(r) for r in near._meeting(places, sets, Scheme()).collect()]
+    assert sorted(pairs) == [(a, b) for a in range(1, 21) for b in range(a + 1, 21)]
 
 
 def test_parities_differ_in_no_more_bits_than_sets_in_elements():
