@@ -182,7 +182,7 @@ class TextCoder:
     def __init__(self, path: str, form, glue: bytes, remembered: int | None = None):
         from tokenizers import Tokenizer
 
-        self.trie = TrieEncoder(path)
+        self.trie = self._trie(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -193,6 +193,9 @@ class TextCoder:
         letters = _byte_letters()
         self._as_bytes = {ord(c): "".join(letters[b] for b in c.encode()) for c in _CHARS}
 
+    def _trie(self, path: str) -> TrieEncoder | None:
+        return TrieEncoder(path)
+
     def _learn(self, new: set[str]) -> None:
         """Make sure that ``chunks`` holds these."""
         if len(self.chunks) + len(new) > (self.remembered or REMEMBERED):
@@ -251,6 +254,58 @@ class TextCoder:
         yield from self._some(some)
 
 
+class FastCoder(TextCoder):
+    """``TextCoder`` for jobs that need the ids only, not how they are found: distinct words go to the
+    library's own model, and texts are split once."""
+
+    def _trie(self, path: str) -> None:
+        return None
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.chunks) + len(new) > (self.remembered or REMEMBERED):
+            self.chunks, self.older = {}, self.chunks
+        chunks, older, glue = self.chunks, self.older, self.glue.join
+        letters, find, form, tokenize = self._as_bytes, _WORDS.findall, self.form, self.library.model.tokenize
+
+        def known(word: str) -> bytes:
+            """A word is remembered as a chunk of its own: other chunks differ in case or signs only."""
+            data = chunks.get(word)
+            if data is None:
+                data = older.get(word)
+                if data is None:
+                    # ASCII signs stand for themselves.
+                    spelled = word if word.isascii() else word.translate(letters)
+                    data = form([token.id for token in tokenize(spelled)])
+                chunks[word] = data
+            return data
+
+        for chunk in new:
+            data = older.get(chunk)
+            chunks[chunk] = glue(map(known, find(chunk.lower()))) if data is None else data
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        parts = [t.split() if t and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        seen: set[str] = set()
+        for chunks in parts:
+            if chunks:
+                seen.update(chunks)
+        new = seen.difference(self.chunks)
+        if new:
+            self._learn(new if len(self.chunks) + len(new) <= (self.remembered or REMEMBERED) else seen)
+        get, out = self.chunks.__getitem__, []
+        for text, chunks in zip(texts, parts):
+            if chunks is not None:
+                out.append(self.glue.join(map(get, chunks)))
+            elif text:
+                out.append(self.form(self.library.encode(text, add_special_tokens=False).ids))
+            else:
+                out.append(b"")
+        return out
+
+    def encode(self, texts: Iterable[str | None], size: int = 500_000) -> Iterator[bytes]:
+        return super().encode(texts, size)
+
+
 def decimal(ids: list[int]) -> bytes:
     return b" ".join(b"%d" % i for i in ids)
 
@@ -265,9 +320,9 @@ def decimal_coder(path: str) -> TextCoder:
 
 
 @lru_cache(maxsize=4)
-def binary_coder(path: str, remembered: int | None = None) -> TextCoder:
+def binary_coder(path: str, remembered: int | None = None) -> FastCoder:
     """One in each worker, kept between tasks."""
-    return TextCoder(path, little_endian, b"", remembered)
+    return FastCoder(path, little_endian, b"", remembered)
 
 
 def encode(text: Column, tokenizer: str) -> Column:

@@ -69,10 +69,9 @@ def _packed(items: list[tuple[int, list]], capacity: int, slack: int) -> pa.Reco
 def _first_round(tokenizer: str, capacity: int, closing: int, slack: int, most: int, remembered: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, items = binary_coder(tokenizer, remembered), []
-        at_once = {} if remembered is None else {"size": 10 * remembered}
         end, whole = closing.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for doc, tokens in zip(batch.column(0).to_pylist(), coder.encode(values(batch.column(1)), **at_once)):
+            for doc, tokens in zip(batch.column(0).to_pylist(), coder.encode(values(batch.column(1)))):
                 tokens += end
                 for k in range(0, len(tokens), whole):
                     cut = tokens[k : k + whole]
@@ -115,8 +114,8 @@ def pack(
     A document is its ids and then the id ``closing``; one of more than ``capacity`` ids is cut into
     pieces of that length, of which the last may be shorter. A bin with at most ``slack`` places left
     counts as nearly full. ``fan_in`` partitions of a round meet in one of the next. A worker remembers the
-    ids of ``remembered`` chunks (``bpe.REMEMBERED`` by default), twice as many at most, and encodes ten times
-    as many characters at once: fewer take less of its memory and more time.
+    ids of ``remembered`` chunks (``bpe.REMEMBERED`` by default), twice as many at most: fewer take less of its
+    memory and more time.
 
     Null and empty texts are the closing id alone. Rows that share an id, or have none, are separate
     documents. Ties go to the bin opened last. An empty table gives no rows; other columns are not read.

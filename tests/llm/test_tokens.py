@@ -51,6 +51,22 @@ def test_forgetting_changes_nothing(library, tokenizer, monkeypatch):
     assert list(coder.encode(texts, size=60)) == [bpe.decimal(expected(library, t)) for t in texts]
 
 
+def test_packing_takes_ids_from_the_library_itself(library, tokenizer, monkeypatch):
+    """No trie is built or walked for ids alone, and words that were forgotten are found again."""
+
+    def unwanted(path):
+        raise AssertionError(path)
+
+    monkeypatch.setattr(bpe, "TrieEncoder", unwanted)
+    words = "alpha Beta's gamma, <b>Delta.</b> épsilon ZÆTA 12,5 don't".split()
+    texts = ODD + [" ".join(random.Random(i).choices(words, k=9)) for i in range(40)]
+    want = [bpe.little_endian(expected(library, t)) for t in texts]
+    for remembered in (5, None):
+        coder = bpe.binary_coder.__wrapped__(tokenizer, remembered)
+        assert list(coder.encode(texts, size=60)) == want
+        assert list(coder.encode(texts)) == want
+
+
 def test_round_trips_of_a_table(spark, library, tokenizer, documents):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(100, None), (None, "no id"), (7, "again"), (7, "again")]
     out = bpe.round_trips(documents(*rows), tokenizer).collect()
