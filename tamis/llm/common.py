@@ -28,13 +28,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and read it back: later jobs, and retries after lost executors, start here."""
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write a table once and read it back: later jobs, and retries after lost executors, start here.
+
+    What the write has shuffled is not read again and goes at its end, not when the driver's garbage is collected.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with option(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def option(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """What is run inside has this option of the session."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """What is run inside sends workers at most so many rows at once: ten thousand whole texts are tens of

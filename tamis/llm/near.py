@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import small_batches, staged, values
 from tamis.llm.components import components
-from tamis.operators.corpus import with_table
 
 _P1, _P2, _P3 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = np.uint64(29)
@@ -166,7 +165,7 @@ def _looked_up(rows: DataFrame, keyed: DataFrame, key: str, on: Column | None =
     """``rows`` with the columns of a written table that has one row per key.
 
     A plain join, for use where nothing behind it needs the rows of a key together: there adaptive execution splits
-    what a frequent key sends. ``with_table`` also does it elsewhere, but its plans are many times as large, and dozens
+    what a frequent key sends. Plans with counts and broadcasts of frequent keys are many times as large, and dozens
     of them take much of the driver's memory.
     """
     marked = rows.withColumn("_key", F.col(key) if on is None else on)
@@ -314,7 +313,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), carry: bool = Fa
     carried = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select("doc_id", signature(F.col("text"), scheme).alias("_s"), F.xxhash64("text").alias("text_hash"), *carried)
     with small_batches(docs.sparkSession):
-        rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "signed")
+        # Carried texts are most of what is written here.
+        rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "signed", "zstd" if carry else None)
     slim = rows.select("doc_id", "_s.*", "text_hash", "row_id").where("n > 0")
     nodes = slim.groupBy("identity").agg(
         F.first("n").alias("n"),
@@ -352,9 +352,15 @@ def _heads(members: DataFrame) -> DataFrame:
 def _apart(members: DataFrame) -> DataFrame:
     """``members(cell, node, label, ...)`` of the cells where nodes of two components are left beside the head;
     the head itself has been compared with all and is left out."""
-    rest = with_table(members, staged(_heads(members), "heads"), "cell").where("node != head").drop("head")
-    ends = rest.groupBy("cell").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-    return rest.join(ends.where("_low != _high").select("cell"), "cell", "left_semi")
+
+    def several(rows: DataFrame, name: str) -> DataFrame:
+        """The rows of cells of two or more components. The cells are written, so that the join needs no rows together."""
+        ends = rows.groupBy("cell").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+        return _looked_up(rows, staged(ends.where("_low != _high").select("cell"), name), "cell")
+
+    some = staged(several(members, "mixed"), "some")
+    beside = _looked_up(some, staged(_heads(some), "heads"), "cell").where("node != head").drop("head")
+    return several(staged(beside, "beside"), "apart")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -378,9 +384,12 @@ def _linked(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
         of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
         ends = _looked_up(_looked_up(links, of("a"), "a"), of("b"), "b").where("_a != _b")
         ends = staged(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "ends")
+        found = ends.count()
+        if not found:
+            return labels, 0
         names = components(ends).select(F.col("node").alias("label"), F.col("label").alias("_new"))
         named = _looked_up(labels, names, "label", how="left")
-        return staged(named.select("node", F.coalesce("_new", "label").alias("label")), "labels"), ends.count()
+        return staged(named.select("node", F.coalesce("_new", "label").alias("label")), "labels"), found
 
     # Every node with the heads of its buckets.
     labels = staged(shared.select("node", F.col("node").alias("label")), "labels")

@@ -1,11 +1,15 @@
 """Near duplicates against brute force over all pairs, and components against a union of sets."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tamis.llm import near
+from tamis.llm.common import staged
 from tamis.llm.components import components
 from tamis.llm.near import Scheme, near_duplicates, shingles
 from tamis.llm.queries import QUERIES, SQL
@@ -214,6 +218,46 @@ def test_the_result_is_one_join_of_written_tables(spark, documents, capsys):
     assert "Join" in plan and "Aggregate" not in plan and "Union" not in plan
 
 
+def shuffled_files(spark):
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_behind(spark):
+    """Before, shuffles stayed on disk until the driver happened to collect its garbage."""
+    before = shuffled_files(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(name, None)
+    made = staged(spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 1_000).alias("k")).count(), "test")
+    assert sorted(r["count"] for r in made.collect()) == [20] * 1_000
+    assert spark.conf.get(name, None) == set_before
+    for _ in range(100):
+        left = shuffled_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_cells_with_components_left_beside_the_head(spark, capsys):
+    rng = random.Random(8)
+    label = [rng.randrange(6) for _ in range(60)]
+    rows = sorted({(rng.randrange(40), node) for node in range(60) for _ in range(4)})
+    want = []
+    for cell in range(40):
+        rest = sorted(node for c, node in rows if c == cell)[1:]
+        if len({label[node] for node in rest}) > 1:
+            want += [(cell, node, label[node]) for node in rest]
+    members = spark.createDataFrame([(c, n, label[n]) for c, n in rows], "cell bigint, node bigint, label bigint")
+    out = near._apart(members)
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out
+    # Dozens of these plans are made; the driver keeps what they say.
+    assert plan.count("Join") == 1 and "Union" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, out.collect())) == sorted(want) and 0 < len(want) < len(rows)
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
     out = QUERIES["op7_tensored_minhash"](spark, PATH)
