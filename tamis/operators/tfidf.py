@@ -194,14 +194,8 @@ def top_terms_per_label(
     return top_of_label(weights(rows).drop("_posts"), n)
 
 
-def fold_vocabulary(
-    counts: DataFrame, docs: DataFrame, k: int, min_df: int = 2, max_df: float = 0.9
-) -> DataFrame:
-    """``(term, fits)``: document frequency and idf of each term on the training rows of every fold.
-
-    ``fits`` has one entry ``(df, idf)`` per fold, null where the fold does not keep the term. One
-    pass counts documents per term and fold; what a fold trains on is the total minus its own count.
-    """
+def _fitted_terms(counts: DataFrame, docs: DataFrame, k: int, min_df: int, max_df: float) -> DataFrame:
+    """``(term, _df, fits)`` of every term, see ``fold_vocabulary``; ``_df`` counts all documents."""
     sizes = docs.groupBy("fold").agg(F.count("*").alias("_n"))
     size_of = sizes.agg(F.map_from_entries(F.collect_list(F.struct("fold", "_n")))).scalar()
     total = sizes.agg(F.sum("_n")).scalar()
@@ -215,10 +209,22 @@ def fold_vocabulary(
         kept = (df >= min_df) & (df <= max_df * n)
         return F.when(kept, F.struct(df.alias("df"), smooth_idf(df, n).alias("idf")))
 
-    fits = F.array(*[fitted(f) for f in range(k)])
-    return per_fold.select("term", fits.alias("fits")).where(
-        F.exists("fits", lambda fit: fit.isNotNull())
-    )
+    return per_fold.select("term", "_df", F.array(*[fitted(f) for f in range(k)]).alias("fits"))
+
+
+def _is_kept(fits: str) -> Column:
+    return F.exists(fits, lambda fit: fit.isNotNull())
+
+
+def fold_vocabulary(
+    counts: DataFrame, docs: DataFrame, k: int, min_df: int = 2, max_df: float = 0.9
+) -> DataFrame:
+    """``(term, fits)``: document frequency and idf of each term on the training rows of every fold.
+
+    ``fits`` has one entry ``(df, idf)`` per fold, null where the fold does not keep the term. One
+    pass counts documents per term and fold; what a fold trains on is the total minus its own count.
+    """
+    return _fitted_terms(counts, docs, k, min_df, max_df).select("term", "fits").where(_is_kept("fits"))
 
 
 def fold_weights(
@@ -251,20 +257,35 @@ def fold_tfidf(
 ) -> DataFrame:
     """``(model_fold, split, doc_id, term, weight)``: unit length per fold and document.
 
-    The lengths of all folds are summed in one window per document; rows multiply by ``k`` after it.
+    Rows of documents and terms are made twice from the written counts, for the lengths of all folds and for the
+    weights, and frequent terms' idfs are looked up in a bounded broadcast: what is shuffled are documents, one row
+    each, and the rows of the other terms. Rows multiply by ``k`` at the end.
     """
-    weights = fold_weights(docs, k, min_df, max_df, longest)
-    of_document = Window.partitionBy("doc_id")
-
-    def norm(f: int) -> Column:
-        entry = F.get("raw", F.lit(f))
-        return F.sqrt(F.sum(entry * entry).over(of_document))
-
-    normed = weights.withColumn("_norms", F.array(*[norm(f) for f in range(k)]))
-    exploded = normed.select(
-        "doc_id", "fold", "term", "_norms", F.posexplode_outer("raw").alias("model_fold", "_raw")
+    grams = docs.select("doc_id", "fold", ngrams(F.col("tokens"), 1, longest).alias("terms"))
+    held = write_through(counted(grams, "terms", "doc_id", "fold"), "counts", compression="zstd")
+    terms = _fitted_terms(exploded(held, "fold"), docs, k, min_df, max_df).where(F.col("_df") >= min_df)
+    idfs = F.transform("fits", lambda fit: fit["idf"]).alias("_idfs")
+    terms = write_through(terms.select("term", F.col("_df").alias("df"), idfs), "fold-terms", compression="zstd")
+    # Also those that are too frequent for every fold: else they would be shuffled, to no end.
+    often = F.broadcast(_most_frequent(terms, _FREQUENT).drop("df"))
+    kept = terms.where(_is_kept("_idfs")).drop("df")
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        """With ``_raw``: per fold the sublinear count times the idf, null where the fold does not keep the term."""
+        split = rows.join(often, "term", "left")
+        rest = split.where(F.col("_idfs").isNull()).drop("_idfs").join(kept, "term")
+        every = split.where(_is_kept("_idfs")).unionByName(rest)
+        raw = F.array(*[sublinear(F.col("tf")) * F.get("_idfs", F.lit(f)) for f in range(k)])
+        return every.withColumn("_raw", raw).drop("_idfs", "tf")
+
+    entry = [F.get("_raw", F.lit(f)) for f in range(k)]
+    squares = weighted(exploded(held, "doc_id")).select("doc_id", *[(e * e).alias(f"_s{f}") for f, e in enumerate(entry)])
+    lengths = squares.groupBy(F.col("doc_id").alias("_doc")).agg(F.array(*[F.sqrt(F.sum(f"_s{f}")) for f in range(k)]).alias("_norms"))
+    normed = held.join(lengths, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    each = weighted(exploded(normed, "doc_id", "fold", "_norms")).select(
+        "doc_id", "fold", "term", "_norms", F.posexplode_outer("_raw").alias("model_fold", "_raw")
     ).where(F.col("_raw").isNotNull())
-    return exploded.select(
+    return each.select(
         "model_fold",
         F.when(F.col("fold") == F.col("model_fold"), "val").otherwise("train").alias("split"),
         "doc_id",

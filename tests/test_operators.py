@@ -413,3 +413,16 @@ def test_weights_read_counts_that_were_made_once(spark):
         assert "sort_array" not in weights._jdf.queryExecution().executedPlan().toString()
     got = {(r["doc_id"], r["term"]): r["tf"] for r in tfidf.term_counts(docs, "terms", "doc_id").collect()}
     assert got == {(1, "a"): 2, (1, "b"): 1, (2, "b"): 1}
+
+
+def test_fold_weights_shuffle_no_row_of_a_frequent_term(spark):
+    """Lengths are sums, so no window gathers the rows of a document; rows of documents whose id is null or comes twice stay."""
+    docs = {i: [f"t{i % 5}", f"u{i % 2}", "all"] for i in range(30)}
+    rows = [(i, d, i % 3) for i, d in docs.items()] + [(3, ["t1", "t1", "t2"], 0), (None, ["t1", "u1"], 1), (None, ["t2"], 2)]
+    weights = tfidf.fold_tfidf(spark.createDataFrame(rows, "doc_id long, tokens array<string>, fold int"), 3)
+    assert "Window" not in weights._jdf.queryExecution().executedPlan().toString()
+    got = weights.groupBy("model_fold", "doc_id").agg(F.sum(F.pow("weight", F.lit(2))).alias("length"), F.count("*").alias("n")).collect()
+    assert {r["doc_id"] for r in got} == {*docs, None}
+    assert all(r["length"] == pytest.approx(1) for r in got)
+    assert {r["n"] for r in got if r["doc_id"] is None} == {3} and {r["n"] for r in got if r["doc_id"] == 3} == {4}
+    assert {r["term"] for r in weights.collect()} == {f"t{i}" for i in range(5)} | {"u0", "u1"}
